@@ -22,11 +22,11 @@ from .common import encode, per_row, table
 
 #: Fixed values: (bytes below which the band holds, lowest ratio, highest ratio) of whole documents.
 WHOLE_BANDS = (
-    (256, 0.20, 1.25),
-    (1024, 0.14, 0.90),
-    (4096, 0.10, 0.80),
-    (16384, 0.08, 0.75),
-    (float("inf"), 0.06, 0.75),
+    (256, 0.25, 1.25),
+    (1024, 0.22, 0.90),
+    (4096, 0.18, 0.80),
+    (16384, 0.15, 0.75),
+    (float("inf"), 0.12, 0.75),
 )
 #: The same for chunks; a document fails if over half of its bytes lie in chunks outside their band.
 CHUNK_BANDS = ((256, 0.14, 1.25), (1024, 0.10, 0.90), (float("inf"), 0.06, 0.80))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from .chat import OP8_SQL, op8_chat_format
 from .classifier import op5_quality_classifier
+from .lines import OP7_SQL, op7_line_dedup
 from .pii import op3_pii
 from .quality_rules import op9_quality_rules
 
 QUERIES = {
     "op3_pii": op3_pii,
     "op5_quality_classifier": op5_quality_classifier,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": OP7_SQL,
+    "op8_chat_format": OP8_SQL,
+}
