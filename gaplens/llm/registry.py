@@ -7,8 +7,10 @@ from .classifier import op5_quality_classifier
 from .lines import OP7_SQL, op7_line_dedup
 from .pii import op3_pii
 from .quality_rules import op9_quality_rules
+from .simhash import op1_simhash
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op3_pii": op3_pii,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_line_dedup": op7_line_dedup,

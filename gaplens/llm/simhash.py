@@ -57,7 +57,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _forest(fp: np.ndarray, reach: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links among distinct fingerprints."""
+    """Pairs (root, member) that span the components of the links among distinct fingerprints."""
     m = len(fp)
     root = np.full(m, -1)
     for i in range(m):
@@ -174,7 +174,7 @@ def _half(fp, v):
 
 
 def links(prints: DataFrame, group: int = GROUP) -> DataFrame:
-    """Written links (a, b) that join all linked fingerprints of ``prints`` (fp, distinct)."""
+    """Written pairs (a, b), each in one component, that connect all linked fingerprints of ``prints`` (fp, distinct)."""
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blank = "shiftleft(cast({0} as bigint), 32) | ({1} & ~shiftleft(1L, {2}))"
     keyed = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v")).select("fp", "v", _half("fp", F.col("v")).alias("half"))
@@ -200,8 +200,9 @@ def stars(edges: DataFrame, rounds: int = 100) -> DataFrame:
     Alternating large-star and small-star rounds; each is aggregated before it is joined.
     """
     now = store(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("root")).distinct(), "stars")
-    mark = None
-    for _ in range(rounds):
+    sums = (F.count("*"), F.bit_xor(F.xxhash64("v", "root")), F.sum(F.xxhash64("v", "root") % 1000003))
+    mark = now.agg(*sums).first()
+    for _ in range(rounds if mark[0] else 0):
         both = now.unionByName(now.select(F.col("root").alias("v"), F.col("v").alias("root")))
         least = both.groupBy("v").agg(F.min("root").alias("m")).select(F.col("v").alias("c"), F.least("v", "m").alias("m"))
         # large star: neighbours above a centre move to the centre's least neighbour
@@ -213,11 +214,11 @@ def stars(edges: DataFrame, rounds: int = 100) -> DataFrame:
         after = store(small, "stars")
         discard(now)
         now = after
-        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "root")), F.sum(F.xxhash64("v", "root") % 1000003)).first()
+        seen = now.agg(*sums).first()
         if seen == mark:
-            break
+            return now
         mark = seen
-    else:
+    if mark[0]:
         raise RuntimeError("components did not settle")
     return now
 
