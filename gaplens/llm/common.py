@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,6 +49,8 @@ def store(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(where)
     fs, path = _path(spark, where)
     fs.deleteOnExit(path)
+    gc.collect()
+    spark._jvm.System.gc()  # the lineage is cut: its shuffle files can go now
     back = spark.read.schema(df.schema).parquet(where)
     back._stored_at = where
     return back

@@ -5,12 +5,14 @@ from __future__ import annotations
 from .chat import OP8_SQL, op8_chat_format
 from .classifier import op5_quality_classifier
 from .lines import OP7_SQL, op7_line_dedup
+from .passages import op2_substring_dedup
 from .pii import op3_pii
 from .quality_rules import op9_quality_rules
 from .simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_pii": op3_pii,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_line_dedup": op7_line_dedup,
