@@ -8,12 +8,14 @@ from .lines import OP7_SQL, op7_line_dedup
 from .passages import op2_substring_dedup
 from .pii import op3_pii
 from .quality_rules import op9_quality_rules
+from .sentencepieces import op4_sentencepiece
 from .simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_pii": op3_pii,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_line_dedup": op7_line_dedup,
     "op8_chat_format": op8_chat_format,
