@@ -10,6 +10,7 @@ from .pii import op3_pii
 from .quality_rules import op9_quality_rules
 from .sentencepieces import op4_sentencepiece
 from .simhash import op1_simhash
+from .topk import OP10_SQL, op10_topk
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -20,8 +21,10 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
+    "op10_topk": op10_topk,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": OP7_SQL,
     "op8_chat_format": OP8_SQL,
+    "op10_topk": OP10_SQL,
 }
