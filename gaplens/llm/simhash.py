@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, encode, per_row, store, table
@@ -224,21 +224,33 @@ def stars(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp) of every row."""
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
-    work = lambda rows: {"id": rows[id_col], "fp": [fingerprint(t, shingle) for t in rows[text_col]]}
-    return docs.select(id_col, text_col).mapInArrow(per_row([id_col, text_col], work, schema), "id long, fp long")
+    """(id, tag, fp) of every row; ``tag`` is a hash of the text, to find the row again."""
+    schema = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("fp", pa.int64())])
+    work = lambda rows: {"id": rows["id"], "tag": rows["tag"], "fp": [fingerprint(t, shingle) for t in rows["text"]]}
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(per_row(["id", "tag", "text"], work, schema), "id long, tag long, fp long")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """(id, fp, component) of every row: its fingerprint and the smallest id that links reach."""
+    """(id, tag, fp, component, root) of every row: its fingerprint, the smallest id that links reach, and the least fingerprint there."""
     marked = store(fingerprints(docs, id_col, text_col), "fingerprints")
     prints = store(marked.groupBy("fp").agg(F.min("id").alias("least")), "prints")
     root = stars(links(prints.select("fp"), group))
     placed = prints.join(root, F.col("fp") == F.col("v"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = placed.groupBy("root").agg(F.min("least").alias("component"))
-    known = placed.join(heads, "root").select(F.col("fp").alias("_fp"), "component")
-    return marked.join(known, F.col("fp") == F.col("_fp")).select("id", "fp", "component")
+    known = placed.join(heads, "root").select(F.col("fp").alias("_fp"), "component", "root")
+    return marked.join(known, F.col("fp") == F.col("_fp")).select("id", "tag", "fp", "component", "root")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows, one for each component: the smallest id, of its texts that with the least hash, once."""
+    least = -(2**63)
+    found = components(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component")))
+    heads = store(found.groupBy("root").agg(F.min("component").alias("id"), F.min("tag").alias("tag")).select(F.coalesce("id", F.lit(least)).alias("key"), "tag").distinct(), "heads")
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.select("row", F.coalesce(F.col("row")[id_col].cast("long"), F.lit(least)).alias("key"), F.xxhash64(F.col("row")[text_col]).alias("tag"))
+    again = F.row_number().over(Window.partitionBy("key", "tag").orderBy("key"))
+    return rows.join(heads, ["key", "tag"]).withColumn("again", again).where("again = 1").select("row.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
