@@ -12,8 +12,9 @@ equality join on their hashes, since extending pairs would grow with the square
 common passage. Neighbouring repeats are joined to maximal ones, which have at least
 50 words each.
 
-Every meeting is an aggregation that combines before it shuffles, or a join of a
-table with such an aggregate, which Spark can split where a key is common.
+Every meeting is an aggregation that combines before it shuffles, or a join with such
+an aggregate. Aggregates are written first: both sides of a join then come straight
+from a shuffle, and Spark can split the partition of a common key.
 
 Edge cases: a null text has no words; texts under 50 words keep everything; rows with
 a null id keep everything and are no source; rows that repeat an id are one document,
@@ -186,24 +187,25 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.hash(text_col).alias("tag"), F.col(text_col).alias("text"))
     seeds = store(texts.mapInArrow(_anchor_rows(window, gram), "anchor long, reach long, doc long, tag int, first int, n int"), "seeds")
     met = seeds.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min("reach").alias("r0"), F.max("reach").alias("r1"))
-    met = met.where("least < most").select("anchor", "least", (F.col("r0") == F.col("r1")).alias("alike"))
+    met = store(met.where("least < most").select("anchor", "least", (F.col("r0") == F.col("r1")).alias("alike")), "met")
     shared = store(seeds.join(met, "anchor").where("NOT alike OR doc > least"), "shared-seeds")
-    discard(seeds)
+    discard(seeds, met)
     span = (F.col("first").cast("long") * 64 + F.col("n")).alias("span")
 
     # reaches that differ: those of the smallest document stand for all that equal them
     differ = shared.where("NOT alike").drop("least", "alike")
-    heads = differ.groupBy("anchor", "reach").agg(F.min("doc").alias("head"))
+    heads = store(differ.groupBy("anchor", "reach").agg(F.min("doc").alias("head")), "heads")
     placed = store(differ.join(heads, ["anchor", "reach"]).select("doc", "tag", span, (F.col("doc") > F.col("head")).alias("copy")), "reaches")
     lists = placed.where("NOT copy").groupBy("doc", "tag").agg(F.collect_list("span").alias("spans"))
     listed = texts.join(lists, ["doc", "tag"]).select("doc", "tag", "text", "spans")
     windows = store(listed.mapInArrow(_window_rows(window), "w1 long, w2 long, doc long, tag int, first int"), "windows")
     least = windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    least = store(least, "least")
     repeated = windows.join(least, ["w1", "w2"]).where("doc > least").select("doc", "tag", (F.col("first").cast("long") * 64 + 1).alias("span"))
 
     spans = shared.where("alike").select("doc", "tag", span).unionByName(placed.where("copy").select("doc", "tag", "span")).unionByName(repeated)
     spans = store(spans.groupBy("doc", "tag").agg(F.collect_list("span").alias("spans")), "spans")
-    discard(shared, placed, windows)
+    discard(shared, heads, placed, windows, least)
     rows = docs.select(F.struct("*").alias("row"))
     found = rows.join(spans, (F.col("row")[id_col] == F.col("doc")) & (F.hash(F.col("row")[text_col]) == F.col("tag")), "left").select("row", "spans")
     made = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("repeats", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
