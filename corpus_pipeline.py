@@ -39,7 +39,7 @@ def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids."""
-    return sentencepieces.encoded(docs).select("row.doc_id", "row.lang", "row.source", "n_tokens", "ids", "exact", "parity")
+    return sentencepieces.encoded(docs, carry=["doc_id", "lang", "source"]).select("row.*", "n_tokens", "ids", "exact", "parity")
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing_weights), ("encode", encode)]

@@ -2,13 +2,13 @@
 
 The model's protobuf is parsed here; from it the normaliser (character map, white
 space rules), the meta space marker, the pieces with their scores, the merges or the
-unigram lattice, and byte fallback are rebuilt. Batches are encoded by several
-threads. Parity with the reference decoder of the model format is verified on every
-batch: all its distinct words are encoded by the sentencepiece library as well.
+unigram lattice, and byte fallback are rebuilt. Batches of distinct words are encoded
+by several threads and put together again. Parity and the way back are verified on
+all of them: every word is encoded by the sentencepiece library as well, and decoded.
 
 Words may be encoded apart because the vocabulary has no piece in which a marker
-follows another character (checked when the model is read; a model with such pieces
-is encoded by whole texts, and compared by whole texts).
+follows another character (checked when the model is read; a model with such pieces,
+or with a normaliser that changes texts, is encoded and compared by whole texts).
 
 Edge cases: a null text counts as empty and has no tokens; control strings inside a
 text are plain text; a text that holds the marker itself (U+2581) comes back with
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,6 +39,10 @@ MARK = "▁"
 #: Kinds of pieces and models in the protobuf.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Words remembered by a task, and code points over which one is not.
+MEMO, LONG_WORD = 800_000, 64
+#: Words encoded as one sequence.
+GROUP = 64
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -145,67 +150,106 @@ class Codec:
         self.backend = backend(self.model)
         self.other = sentencepiece.SentencePieceProcessor(model_proto=raw)
         # words can be taken out of a text only where the normaliser leaves text alone
-        self.plain = self.model.by_word and self.model.dummy_prefix and not self.model.charsmap and not self.model.strip_spaces
-        self.seen: set[str] = set()
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.backend.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.backend.decode_batch(ids, skip_special_tokens=False)
-
-    def parity(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
-        """Whether both libraries agree on each text."""
+        own = any(kind == USER for *_, kind in self.model.pieces)
+        self.plain = self.model.by_word and self.model.dummy_prefix and not self.model.charsmap and not self.model.strip_spaces and not own
+        if self.plain:  # takes words that hold their markers already
+            self.words = backend(self.model)
+            self.words.normalizer = None
+            self.words.pre_tokenizer = None
+        self.memo: dict[str, bytes] = {}
+        self.bad: set[str] = set()
+        self.lossy: set[str] = set()
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        """Token ids of whole texts."""
+        return [x.ids if t else [] for t, x in zip(texts, self.backend.encode_batch_fast(texts, add_special_tokens=False))]
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
+        """Token ids of each text, whether they decode to it, and whether both libraries agree on them.
+
+        Each distinct word is encoded, decoded and compared once, in batches, and remembered for the next ones.
+        """
         if not self.plain:
-            return [self.other.encode(t, num_threads=1) == i if t else not i for t, i in zip(texts, ids)]
-        if len(self.seen) > 500_000:
-            self.seen.clear()
-        words = [set(WORDS.findall((MARK + t).replace(" ", MARK))) for t in texts]
-        fresh = sorted(set().union(*words) - self.seen)
-        # the libraries put the first marker back themselves
-        bare = [w[1:].replace(MARK, " ") for w in fresh]
-        bad = {w for w, a, b in zip(fresh, self.encode(bare), self.other.encode(bare, num_threads=1)) if w != MARK and a != b}
-        self.seen.update(w for w in fresh if w not in bad)
-        return [w.isdisjoint(bad) for w in words]
-
-
-def encoded(docs: DataFrame, text_col: str = "text", model: str = MODEL, threads: int = THREADS) -> DataFrame:
-    """(row, ids, n_tokens, exact, parity): token ids of each text; whether they decode to it and both libraries agree.
-
-    The model file is read on the driver and travels with the tasks.
+            ids = self.whole(texts)
+            same = [self.other.encode(t, num_threads=1) == i if t else not i for t, i in zip(texts, ids)]
+            ids = [np.array(i, np.int32) for i in ids]
+            return ids, [a == b for a, b in zip(texts, self.decode(ids))], same
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        cut = [WORDS.findall((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
+        fresh = list(set().union(*cut).difference(self.memo))
+        raws, bare = self._encode_words(fresh), [w[1:].replace(MARK, " ") for w in fresh]
+        self.memo.update(zip(fresh, raws))
+        # the other library puts the first marker back itself; alone it can't be asked for
+        told = self.other.encode(bare, num_threads=1)
+        self.bad.update(w for w, a, b in zip(fresh, raws, told) if a != array("i", b).tobytes() and w != MARK)
+        self.lossy.update(self._lossy(fresh, raws))
+        out = [np.frombuffer(b"".join(map(self.memo.__getitem__, words)), np.int32) for words in cut]
+        for w in fresh:
+            if len(w) > LONG_WORD:
+                del self.memo[w]
+        exact = [MARK not in t and (not self.lossy or self.lossy.isdisjoint(words)) for t, words in zip(texts, cut)]
+        return out, exact, [not self.bad or self.bad.isdisjoint(words) for words in cut]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Token ids of each word, as bytes; words go to the library in groups."""
+        groups = [words[at : at + GROUP] for at in range(0, len(words), GROUP)]
+        out: list[bytes] = []
+        for group, x in zip(groups, self.words.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)):
+            raw = array("i", x.ids).tobytes()
+            ends = (4 * np.searchsorted(np.array(x.word_ids, np.int64), np.arange(len(group) + 1))).tolist()
+            out += [raw[i:j] for i, j in zip(ends, ends[1:])]
+        return out
+
+    def _lossy(self, words: list[str], raws: list[bytes]) -> list[str]:
+        """The words that do not decode to themselves; groups that do are done at once."""
+        spans = [(at, at + GROUP) for at in range(0, len(words), GROUP)]
+        whole = self.decode([np.frombuffer(b"".join(raws[a:b]), np.int32) for a, b in spans])
+        again = [k for (a, b), text in zip(spans, whole) if text != "".join(words[a:b])[1:].replace(MARK, " ") for k in range(a, min(b, len(words)))]
+        back = self.decode([np.frombuffer(raws[k], np.int32) for k in again]) if again else []
+        return [words[k] for k, text in zip(again, back) if text != words[k][1:].replace(MARK, " ")]
+
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        return self.backend.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
+
+
+def encoded(docs: DataFrame, text_col: str = "text", model: str = MODEL, threads: int = THREADS, carry: list[str] | None = None, with_ids: bool = True) -> DataFrame:
+    """(row, ids, n_tokens, ids_sha256, exact, parity): token ids of each text; whether they decode to it and both libraries agree.
+
+    ``row`` holds the columns ``carry`` (all, if not given). ``ids_sha256`` is of the ids as
+    little-endian 32-bit numbers; ``with_ids`` false leaves the ids themselves away. The
+    model file is read on the driver and travels with the tasks.
     """
     with open(model, "rb") as f:
         raw = f.read()
-    rows = docs.select(F.struct("*").alias("row"))
-    made = pa.schema([("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("exact", pa.bool_()), ("parity", pa.bool_())])
+    rows = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.coalesce(text_col, F.lit("")).alias("text"))
+    ids_type = pa.list_(pa.int32())
+    names = ["row", *(["ids"] if with_ids else []), "n_tokens", "ids_sha256", "exact", "parity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(raw, threads)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 part = whole.slice(at, 256)
-                texts = [t or "" for t in part.column(0).field(text_col).to_pylist()]
-                ids = codec.encode(texts)
-                ids = [i if t else [] for i, t in zip(ids, texts)]
-                back = codec.decode(ids)
-                arrays = [
-                    pa.array(ids, made.field("ids").type),
-                    pa.array([len(i) for i in ids], pa.int64()),
-                    pa.array([a == b for a, b in zip(texts, back)]),
-                    pa.array(codec.parity(texts, ids)),
-                ]
-                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["row", *made.names])
-
-    fields = [rows.schema["row"], *T._parse_datatype_string("ids array<int>, n_tokens long, exact boolean, parity boolean").fields]
+                ids, exact, same = codec.encode(part.column(1).to_pylist())
+                sizes = np.array([len(i) for i in ids], np.int64)
+                arrays = [part.column(0)]
+                if with_ids:
+                    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                    arrays.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids))).cast(ids_type))
+                arrays += [pa.array(sizes), pa.array([ids_sha256(i) for i in ids]), pa.array(exact), pa.array(same)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    ddl = "ids array<int>, n_tokens long, ids_sha256 string, exact boolean, parity boolean"
+    fields = [rows.schema["row"], *(f for f in T._parse_datatype_string(ddl).fields if f.name in names)]
     return rows.mapInArrow(run, T.StructType(fields))
 
 
-def ids_sha256(ids: list[int]) -> str:
-    return hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+def ids_sha256(ids: np.ndarray) -> str:
+    return hashlib.sha256(np.asarray(ids, "<i4").tobytes()).hexdigest()
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document: their number and digest, and both verifications."""
-    out = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    digest = F.sha2(F.array_join("ids", ","), 256)
-    return out.select("row.doc_id", "n_tokens", digest.alias("ids_sha256"), "exact", "parity")
+    out = encoded(table(spark, sf_dir, "documents"), carry=["doc_id"], with_ids=False)
+    return out.select("row.doc_id", "n_tokens", "ids_sha256", "exact", "parity")
