@@ -38,17 +38,26 @@ class Chain:
     links: list[Link] = field(default_factory=list)
 
 
-def _normal(seed: int, *key: Column) -> Column:
+def _normal(seed: Column, key: Column, step: Column) -> Column:
     """A standard normal number from a hash of the key, by Box and Muller."""
-    unit = lambda k: (F.shiftrightunsigned(F.xxhash64(*key, F.lit(seed), F.lit(k)), 11).cast("double") + 0.5) / float(2**53)
+    unit = lambda k: (F.shiftrightunsigned(F.xxhash64(key, seed, step, F.lit(k)), 11).cast("double") + 0.5) / float(2**53)
     return F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * np.pi * unit(2))
 
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+
+
+def _numbers(values) -> Column:
+    return F.array(*(F.lit(float(v)) for v in values)).cast("array<double>")
+
+
 class ChainedImputer:
     """``fit`` learns m chains from training data; ``fill`` and ``draws`` apply them.
 
     ``key`` names the columns that identify a row for the noise; without it all columns
-    do, so equal rows get equal draws.
+    do, so equal rows get equal draws. A row's numbers are one array, and links are
+    applied to it by a fold, so plans grow with the links and not with their powers.
     """
 
     def __init__(self, m: int = 5, max_iter: int = 10, seed: int = 0, sample_posterior: bool = True, tol: float = 1e-3, key: list[str] | None = None):
@@ -62,48 +71,56 @@ class ChainedImputer:
         # a column without a value has nothing to learn from or to teach
         kept = [(c, k) for k, c in enumerate(columns) if seen[f"c{k}"]]
         start = {c: float(seen[f"a{k}"]) for c, k in kept}
-        order = sorted((seen["n"] - seen[f"c{k}"], k, c) for c, k in kept if seen[f"c{k}"] < seen["n"])
-        base = df.select(*(number(c).alias(c) for c, _ in kept), *[F.xxhash64(*(F.col(q(c)) for c in (self.key or df.columns))).alias("__key")])
-        base = base.persist()  # numbers only; read once for each regression
-        self.chains = [self._chain(base, [c for c, _ in kept], start, [c for *_, c in order], i) for i in range(self.m)]
+        order = [c for *_, c in sorted((seen["n"] - seen[f"c{k}"], k, c) for c, k in kept if seen[f"c{k}"] < seen["n"])]
+        base = self._state(df, [c for c, _ in kept], start).select("s", "gone", "key").persist()
+        self.chains = [self._chain(base, [c for c, _ in kept], start, order, i) for i in range(self.m)]
         base.unpersist()
         return self
 
+    def _state(self, df: DataFrame, columns: list[str], start: dict[str, float]) -> DataFrame:
+        """(row, s, gone, key): the numbers with means for gaps, which of them are gaps, and the hash of the row."""
+        have = {c: F.col(q(c)).cast("double") if c in df.columns else F.lit(None).cast("double") for c in columns}
+        key = F.xxhash64(*(F.col(q(c)) for c in (self.key or df.columns)))
+        filled = F.array(*(F.coalesce(v, F.lit(start[c])) for c, v in have.items())).cast("array<double>")
+        return df.select(F.struct(*(F.col(q(c)) for c in df.columns)).alias("row"), filled.alias("s"), F.array(*(v.isNull() for v in have.values())).cast("array<boolean>").alias("gone"), key.alias("key"))
+
     def _chain(self, base: DataFrame, columns: list[str], start: dict[str, float], order: list[str], i: int) -> Chain:
         chain = Chain(columns, start)
         scale = max((abs(v) for v in start.values()), default=1.0) or 1.0
-        state = {c: F.coalesce(F.col(q(c)), F.lit(start[c])) for c in columns}
-        frame = base
-        old: dict[str, np.ndarray] = {}
-        for round_ in range(self.max_iter):
-            change = 0.0
+        frame, before, old = base, None, {}
+        for _ in range(self.max_iter):
+            change, first = 0.0, len(chain.links)
             for c in order:
-                others = [o for o in columns if o != c]
-                link = self._regress(frame, state, c, others)
+                link = self._regress(frame, chain, first, c, i)
                 chain.links.append(link)
                 coef = np.append(link.coef, link.intercept)
                 change = max(change, float(np.abs(coef - old.get(c, np.zeros_like(coef))).max()))
                 old[c] = coef
-                state[c] = F.coalesce(F.col(q(c)), F.col(f"__{len(chain.links)}"))
-                frame = frame.withColumn(f"__{len(chain.links)}", self._predict(link, {o: state[o] for o in others}, i, len(chain.links), F.col("__key")))
-            # only the newest guesses matter from here on
-            last = {c: f"__{len(chain.links) - len(order) + k + 1}" for k, c in enumerate(order)}
-            frame = frame.select(*(F.col(q(c)) for c in columns), "__key", *last.values()).persist()
+            if before is not None:
+                before.unpersist()
+            before = frame if frame is not base else None
+            frame = frame.withColumn("s", self._applied(chain, first, i)).persist()
             if not self.sample and change < self.tol * scale:
                 break
+        for done in (before, frame):
+            if done is not None and done is not base:
+                done.unpersist()
         return chain
 
-    def _regress(self, frame: DataFrame, state: dict[str, Column], c: str, others: list[str]) -> Link:
+    def _regress(self, frame: DataFrame, chain: Chain, first: int, c: str, i: int) -> Link:
+        columns = chain.columns
+        others = [o for o in columns if o != c]
         names = [*others, c]
-        rows = frame.where(F.col(q(c)).isNotNull()).select(*(state[o].alias(f"v{k}") for k, o in enumerate(names)))
+        rows = frame.where(~F.col("gone")[columns.index(c)]).select(self._applied(chain, first, i).alias("s"))
+        rows = rows.select(*(F.col("s")[columns.index(o)].alias(f"v{k}") for k, o in enumerate(names)))
         p = len(names)
-        pairs = [(i, j) for i in range(p) for j in range(i, p)]
+        pairs = [(a, b) for a in range(p) for b in range(a, p)]
         # covar_pop centres as it goes, which keeps large values from cancelling
-        got = rows.agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"v{k}").alias(f"a{k}") for k in range(p)), *(F.covar_pop(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i, j in pairs)).first()
+        got = rows.agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"v{k}").alias(f"a{k}") for k in range(p)), *(F.covar_pop(f"v{a}", f"v{b}").alias(f"c{a}_{b}") for a, b in pairs)).first()
         n = got["n"]
         full = np.zeros((p, p))
-        for i, j in pairs:
-            full[i, j] = full[j, i] = (got[f"c{i}_{j}"] or 0.0) * n
+        for a, b in pairs:
+            full[a, b] = full[b, a] = (got[f"c{a}_{b}"] or 0.0) * n
         mean = np.array([got[f"a{k}"] for k in range(p)], float)
         if not others:
             spread = full[-1, -1] / max(n - 1, 1)
@@ -111,36 +128,40 @@ class ChainedImputer:
         coef, intercept, alpha, cov = bayesian_ridge(full[:-1, :-1], full[:-1, -1], full[-1, -1], n, mean[:-1], mean[-1])
         return Link(c, others, coef, intercept, alpha, cov, mean[:-1])
 
-    def _predict(self, link: Link, values: dict[str, Column], i: int, step: int, key: Column) -> Column:
-        out = F.lit(float(link.intercept))
-        for o, b in zip(link.others, link.coef):
-            out = out + F.lit(float(b)) * values[o]
-        if not self.sample:
-            return out
-        spread = F.lit(float(1 / link.alpha))
-        centred = [values[o] - float(a) for o, a in zip(link.others, link.means)]
-        for a, x in enumerate(centred):
-            for b, y in enumerate(centred):
-                if b >= a:
-                    spread = spread + F.lit(float(link.cov[a, b]) * (1 if a == b else 2)) * x * y
-        return out + F.sqrt(F.greatest(spread, F.lit(0.0))) * _normal(self.seed + i, key, F.lit(step))
+    def _applied(self, chain: Chain, first: int, i: int) -> Column:
+        """The numbers ``s`` after the links from ``first`` on."""
+        if first == len(chain.links):
+            return F.col("s")
+        p = len(chain.columns)
+        made = []
+        for step in range(first, len(chain.links)):
+            link = chain.links[step]
+            at = [chain.columns.index(o) for o in link.others]
+            coef, mean, cov = np.zeros(p), np.zeros(p), np.zeros((p, p))
+            coef[at], mean[at] = link.coef, link.means
+            cov[np.ix_(at, at)] = link.cov
+            made.append(F.struct(
+                F.lit(chain.columns.index(link.column)).alias("at"), F.lit(step + 1).alias("step"), F.lit(float(link.intercept)).alias("base"), _numbers(coef).alias("coef"),
+                F.lit(float(1 / link.alpha)).alias("noise"), _numbers(mean).alias("mean"), (F.array(*map(_numbers, cov)) if self.sample else F.array(_numbers([]))).alias("cov"),
+            ))
+
+        def moved(s: Column, link: Column) -> Column:
+            guess = link["base"] + _dot(s, link["coef"])
+            if self.sample:
+                centred = F.zip_with(s, link["mean"], lambda x, m: x - m)
+                spread = link["noise"] + _dot(centred, F.transform(link["cov"], lambda row: _dot(row, centred)))
+                guess = guess + F.sqrt(F.greatest(spread, F.lit(0.0))) * _normal(F.lit(self.seed + i), F.col("key"), link["step"])
+            return F.transform(s, lambda x, k: F.when((k == link["at"]) & F.get("gone", k), guess).otherwise(x))
+
+        return F.aggregate(F.array(*made), F.col("s"), moved)
 
     def fill(self, df: DataFrame, columns: list[str] | None = None, i: int = 0) -> DataFrame:
         """``df`` with the missing values of ``columns`` (all modelled ones) from chain ``i``; other columns are untouched."""
         chain = self.chains[i]
         df = normalise(df)
-        names = df.columns
-        want = [c for c in (columns or chain.columns) if c in chain.columns and c in names]
-        have = {c: F.col(q(c)).cast("double") if c in names else F.lit(None).cast("double") for c in chain.columns}
-        key = F.xxhash64(*(F.col(q(c)) for c in (self.key or names)))
-        work = df.select(F.struct(*(F.col(q(c)) for c in names)).alias("row"), key.alias("__key"), *(v.alias(f"o{k}") for k, (c, v) in enumerate(have.items())))
-        at = {c: k for k, c in enumerate(chain.columns)}
-        state = {c: F.coalesce(F.col(f"o{at[c]}"), F.lit(chain.start[c])) for c in chain.columns}
-        # each guess is a column of its own, so expressions do not nest with the rounds
-        for k, link in enumerate(chain.links):
-            work = work.withColumn(f"g{k}", self._predict(link, {o: state[o] for o in link.others}, i, k + 1, F.col("__key")))
-            state[link.column] = F.coalesce(F.col(f"o{at[link.column]}"), F.col(f"g{k}"))
-        return work.select(*((state[c].alias(c)) if c in want else F.col("row").getField(c).alias(c) for c in names))
+        want = [c for c in (columns or chain.columns) if c in chain.columns and c in df.columns]
+        work = self._state(df, chain.columns, chain.start).select("row", self._applied(chain, 0, i).alias("s"))
+        return work.select(*((F.col("s")[chain.columns.index(c)] if c in want else F.col("row").getField(c)).alias(c) for c in df.columns))
 
     def draws(self, df: DataFrame, columns: list[str] | None = None, target: str | None = None) -> DataFrame:
         """All m completed tables, one under the other, with ``imputation_id`` from 0; the target stays as it is."""

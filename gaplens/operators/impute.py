@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .columns import SUFFIX, is_numeric, missing, normalise, number, q
 
 MISSING, NONE = "MISSING", "NONE"
-ALIASES = {"group_median": "groupwise_numeric_median_plus_indicator", "mice_multiple_imputation": "model_based_imputation_optional"}
+ALIASES = {"group_median": "groupwise_numeric_median", "mice_multiple_imputation": "model_based_imputation_optional"}
 #: Strategies of the override menu in terms of the others.
 OVERRIDES = {
     "mean": "numeric_mean", "median": "numeric_median", "mode": "categorical_mode", "knn": "knn", "mice": "model_based_imputation_optional", "groupwise": "groupwise_numeric_median",
