@@ -128,7 +128,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     for b in range(BATCHES):
         part = lines.where(F.pmod(F.xxhash64("doc"), F.lit(BATCHES)) == b)
         runs.add(part.groupBy(*KEY).agg(F.count_distinct("doc").alias("n_docs"), F.max("doc").alias("last_doc")))
-    common = runs.keys().where(F.col("n_docs") >= MIN_DOCS).select(*KEY, "last_doc")
+    # written, so that both sides of the join come from a shuffle and a common line's partition can be split
+    common = store(runs.keys().where(F.col("n_docs") >= MIN_DOCS).select(*KEY, "last_doc"), "common-lines")
     drops = lines.join(common, KEY).where(F.col("doc") != F.col("last_doc")).groupBy("doc").agg(F.collect_set("at").alias("ats"))
     text = F.coalesce(F.col("row")[text_col], F.lit(""))
     out = docs.select(F.struct("*").alias("row")).join(drops, F.col("row")[id_col] == F.col("doc"), "left")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, encode, store, table
+from .common import WORD, discard, encode, store, table
 
 WINDOW = 50
 GRAM = 20
@@ -217,3 +217,22 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What passage dedup leaves of every document."""
     out = dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = f"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents
+), starts AS (
+  SELECT doc_id, ws, unnest(generate_series(1, len(ws) - {WINDOW - 1})) AS p FROM w
+), windows AS (
+  SELECT doc_id, p, md5(array_to_string(ws[p:p + {WINDOW - 1}], ' ')) AS k FROM starts
+), least AS (
+  SELECT k, min(doc_id) AS m FROM windows GROUP BY k
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(p, p + {WINDOW - 1})) AS i FROM windows JOIN least USING (k) WHERE doc_id > m
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, (SELECT count(*) FROM gone g WHERE g.doc_id = w.doc_id) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""

@@ -6,7 +6,7 @@ from .chat import OP8_SQL, op8_chat_format
 from .classifier import op5_quality_classifier
 from .lines import OP7_SQL, op7_line_dedup
 from .mixing import OP6_SQL, op6_mixing
-from .passages import op2_substring_dedup
+from .passages import OP2_SQL, op2_substring_dedup
 from .pii import op3_pii
 from .quality_rules import op9_quality_rules
 from .sentencepieces import op4_sentencepiece
@@ -26,6 +26,7 @@ QUERIES = {
     "op10_topk": op10_topk,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": OP2_SQL,
     "op6_mixing": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_chat_format": OP8_SQL,
