@@ -92,12 +92,19 @@ def ordered_fill(df: DataFrame, column: str, order_by: list[str], partition_by:
     keys = [F.col(q(k)) for k in order_by]
     if not partition_by:
         return _ranged_fill(df, column, order_by, parts)
-    w = Window.partitionBy(*(F.col(q(k)) for k in partition_by)).orderBy(*keys)
-    before = F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    w = Window.partitionBy(*(F.col(q(k)) for k in partition_by))
+    before, after = _nearest(c, w, keys)
     return df.withColumn(column, F.coalesce(before, after))
 
 
+def _nearest(value, window, keys):
+    """The last value at or before, and the first at or after a row. Both frames grow: one that shrinks is summed anew for every row."""
+    ends = (Window.unboundedPreceding, 0)
+    before = F.last(value, ignorenulls=True).over(window.orderBy(*keys).rowsBetween(*ends))
+    after = F.last(value, ignorenulls=True).over(window.orderBy(*(k.desc_nulls_last() for k in keys)).rowsBetween(*ends))
+    return before, after
+
+
 def _ranged_fill(df: DataFrame, column: str, order_by: list[str], parts: int) -> DataFrame:
     first, names = order_by[0], df.columns
     kind = df.schema[first].dataType
@@ -107,7 +114,7 @@ def _ranged_fill(df: DataFrame, column: str, order_by: list[str], parts: int) ->
         made = df.agg(F.percentile_approx(scale, [k / parts for k in range(1, parts)], 10_000)).first()[0]
         cuts = sorted(set(made or []))
     # ties of the first key stay in one range; nulls come first
-    at = F.lit(0) if not cuts else F.coalesce(sum((F.when(scale > x, 1).otherwise(0) for x in cuts), F.lit(0)), F.lit(0))
+    at = F.coalesce(F.size(F.filter(F.lit(cuts), lambda x: x < scale)), F.lit(0)) if cuts else F.lit(0)
     dealt = df.select(F.struct(*(F.col(q(n)) for n in names)).alias("row"), at.cast("int").alias("part"))
     value = F.col("row").getField(column)
     keys = [F.col("row").getField(k) for k in order_by]
@@ -118,9 +125,7 @@ def _ranged_fill(df: DataFrame, column: str, order_by: list[str], parts: int) ->
         F.col("part").alias("p"), F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("carry"),
         F.first("first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("next"),
     )
-    own = Window.partitionBy("part").orderBy(*keys)
-    before = F.last(value, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(value, ignorenulls=True).over(own.rowsBetween(0, Window.unboundedFollowing))
+    before, after = _nearest(value, Window.partitionBy("part"), keys)
     full = dealt.withColumn("before", before).withColumn("after", after).join(F.broadcast(carry), F.col("part") == F.col("p"))
     filled = F.coalesce("before", "carry", "after", "next")
     return full.select(*(filled.alias(n) if n == column else F.col("row").getField(n).alias(n) for n in names))
