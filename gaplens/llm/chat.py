@@ -62,7 +62,7 @@ def fold(events: DataFrame) -> DataFrame:
     e = events.select("conv_id", "seq", "turn", kind.alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy("seq", "turn", "kind", "role", "text")
     e = e.withColumn("at", F.row_number().over(order))
-    later = Window.partitionBy("conv_id").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("conv_id").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
     cut = F.min(F.when(F.col("kind") == "regenerate", F.col("turn"))).over(later)
     e = e.withColumn("cut", cut).where(F.col("cut").isNull() | ~(F.col("turn") > F.col("cut")))
     starts = F.max(F.when(F.col("kind") != "delta", F.col("at"))).over(Window.partitionBy("conv_id", "turn"))
