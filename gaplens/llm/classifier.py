@@ -2,14 +2,16 @@
 
 Two zstandard dictionaries are trained, one on good and one on bad labelled texts.
 A text is cut into fixed chunks, each compressed once with either dictionary; the
-difference of the summed sizes over their sum becomes a score by logistic
-calibration on labelled texts that neither dictionary has seen.
+difference of the summed sizes over their sum, and the logarithm of the compressed
+share of the text, become a score by logistic calibration on labelled texts that
+neither dictionary has seen. The share tells repetitive texts, which both dictionaries
+compress to nearly nothing, so that the difference says little.
 
 Training uses at most ``per_class`` labelled texts of each class (those with the
 smallest hashed ids), skipping texts over ``longest`` code points and stopping at
 ``class_bytes``; both bounds are parameters. Scoring covers every text as a whole.
 
-Edge cases: null and empty texts score like a text whose difference is zero; null
+Edge cases: null and empty texts score like a text with both measures zero; null
 and repeated ids are scored row by row; labels that are null are not learnt from;
 several labels of one id each count; without a label of either class every score
 is the share of good labels (0.5 where there is none). Other columns play no part.
@@ -17,6 +19,7 @@ is the share of good labels (0.5 where there is none). Other columns play no par
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -40,7 +43,7 @@ THRESHOLD = 0.3
 class Model:
     good: bytes
     bad: bytes
-    slope: float
+    slopes: tuple[float, float]
     offset: float
 
     def packers(self):
@@ -52,35 +55,36 @@ class Model:
         return made
 
 
-def difference(raw: bytes, packers) -> float:
-    """(bad - good) / (bad + good) of the chunk-wise compressed sizes; 0 for an empty text."""
+def measures(raw: bytes, packers) -> tuple[float, float]:
+    """(bad - good) / (bad + good) of the chunk-wise compressed sizes, and log(good / bytes); zeros for an empty text."""
     if not raw:
-        return 0.0
+        return 0.0, 0.0
     good = bad = 0
     for at in range(0, len(raw), CHUNK):
         part = raw[at : at + CHUNK]
         good += len(packers[0].compress(part))
         bad += len(packers[1].compress(part))
-    return (bad - good) / (bad + good)
+    return (bad - good) / (bad + good), math.log(good / len(raw))
 
 
-def chance(x: float, model: Model) -> float:
-    z = model.slope * x + model.offset
-    return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
+def chance(x: tuple[float, float], model: Model) -> float:
+    z = model.slopes[0] * x[0] + model.slopes[1] * x[1] + model.offset
+    return 1 / (1 + math.exp(-min(max(z, -50.0), 50.0)))
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression with smoothed targets by Newton's method."""
+def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic regression with smoothed targets by Newton's method: the slopes, then the offset."""
     ones, zeros = y.sum(), len(y) - y.sum()
     goal = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
-    a, w = np.column_stack([x, np.ones_like(x)]), np.array([0.0, np.log((ones + 1) / (zeros + 1))])
+    a = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(a.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -50, 50)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-6 * np.eye(2), a.T @ (p - goal) + 1e-6 * w)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-4 * np.eye(len(w)), a.T @ (p - goal) + 1e-4 * w)
         w -= step
         if np.abs(step).max() < 1e-10:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -113,18 +117,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         n1, n0 = len(sides[1]), len(sides[0])
         share = n1 / (n1 + n0) if n1 + n0 else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(b"\x00" * 8, b"\x00" * 8, 0.0, float(np.log(share / (1 - share))))
+        return Model(b"\x00" * 8, b"\x00" * 8, (0.0, 0.0), math.log(share / (1 - share)))
     seen = {y: t[::2] for y, t in sides.items()}
     apart = {y: t[1::2] or t for y, t in sides.items()}
-    model = Model(_dictionary(seen[1]), _dictionary(seen[0]), 1.0, 0.0)
+    model = Model(_dictionary(seen[1]), _dictionary(seen[0]), (0.0, 0.0), 0.0)
     packers = model.packers()
-    x = np.array([difference(t, packers) for y in (1, 0) for t in apart[y]])
+    x = np.array([measures(t, packers) for y in (1, 0) for t in apart[y]])
     y = np.array([y for y in (1, 0) for _ in apart[y]])
     prior = marks.groupBy("_y").count().collect()
     counts = {r["_y"]: r["count"] for r in prior}
-    model.slope, model.offset = _calibrate(x, y)
+    *slopes, offset = _calibrate(x, y).tolist()
     # the sample holds the classes in other proportions than the labels do
-    model.offset += float(np.log(counts[1] / counts[0]) - np.log((y == 1).sum() / (y == 0).sum()))
+    offset += math.log(counts[1] / counts[0]) - math.log((y == 1).sum() / (y == 0).sum())
+    model.slopes, model.offset = tuple(slopes), offset
     return model
 
 
@@ -136,7 +141,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", least: float |
 
     def work(rows: dict) -> dict:
         packers = model.packers()
-        return {out: [chance(difference(encode(t), packers), model) for t in rows[text_col]]}
+        return {out: [chance(measures(encode(t), packers), model) for t in rows[text_col]]}
 
     run = per_row([text_col], work, pa.schema([(out, pa.float64())]), keep=True)
 
