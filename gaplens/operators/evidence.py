@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -80,6 +80,17 @@ def indicator_correlations(df: DataFrame, columns: list[str], features: list[str
     return _batched(df, aggs, rows, 2).where(F.col("r").isNotNull() & (F.col("n") >= MIN_PAIRS))
 
 
+def top_features(found: DataFrame, by: str, k: int = 5) -> DataFrame:
+    """The k features of each column with the largest size of ``by``, ranked; ties by name."""
+    w = Window.partitionBy("column").orderBy(F.abs(by).desc(), "feature")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def class_spread(df: DataFrame, column: str, target: str) -> DataFrame:
+    """One row (n_classes, spread): the range of missing rates over classes of a categorical target with five rows at least."""
+    return group_spread(df, [column], [target]).select("n_levels", "spread")
+
+
 def _batched(df: DataFrame, aggs: list[Column], rows: list[Column], per: int, width: int = 60) -> DataFrame:
     """Rows made of aggregates, ``per`` aggregates for each row, in passes of bounded width."""
     step = max(1, width // per)

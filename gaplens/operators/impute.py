@@ -7,8 +7,9 @@ DataFrame and are joined; everything else becomes a literal.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,13 +43,14 @@ class Step:
     model: object = None
 
 
-@dataclass
-class Fitted:
-    steps: list[Step]
-    order_by: list[str] = field(default_factory=list)
-    partition_by: list[str] = field(default_factory=list)
+class Fitted(Model):
+    """Fitted steps; a transformer that can stand in a machine-learning pipeline."""
+
+    def __init__(self, steps: list[Step], order_by: list[str] | None = None, partition_by: list[str] | None = None):
+        super().__init__()
+        self.steps, self.order_by, self.partition_by = steps, order_by or [], partition_by or []
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def _transform(self, df: DataFrame) -> DataFrame:
         df = normalise(df)
         for s in self.steps:
             if s.column in df.columns:
@@ -214,17 +216,18 @@ def _apply(df: DataFrame, s: Step, fitted: Fitted) -> DataFrame:
     return df.withColumn(c, F.coalesce(col, F.lit(s.value)))
 
 
-class PlanImputer:
+class PlanImputer(Estimator):
     """Fits the steps of a plan on training data, in plan order: a later column sees earlier ones filled."""
 
     def __init__(self, steps: list[Step], order_by: list[str] | None = None, partition_by: list[str] | None = None, seed: int = 0):
+        super().__init__()
         self.steps, self.order_by, self.partition_by, self.seed = steps, order_by or [], partition_by or [], seed
 
     @classmethod
     def from_plan(cls, plan: dict, **more) -> PlanImputer:
         return cls([Step(c, p["strategy"], bool(p.get("add_missing_indicator")), p.get("group_col")) for c, p in plan["columns"].items()], **more)
 
-    def fit(self, train: DataFrame) -> Fitted:
+    def _fit(self, train: DataFrame) -> Fitted:
         df = normalise(train)
         out = Fitted([], self.order_by, self.partition_by)
         for s in self.steps:

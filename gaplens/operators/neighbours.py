@@ -7,14 +7,19 @@ all are averaged. The work is rows to fill times donors: meant for filling few.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import missing, normalise, number, numeric_columns, q
 
 BLOCK = 4096
+# workers need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _pairs(k: int, width: int):

@@ -49,6 +49,11 @@ def tipping(df: DataFrame, columns: list[str], deltas: tuple[float, ...] = DELTA
     return out
 
 
+def fragile_first(df: DataFrame, columns: list[str], most: int = 4) -> DataFrame:
+    """The columns whose conclusions tip soonest, for a chart of a few panels."""
+    return tipping(df, columns).orderBy(F.abs("tipping_point").asc_nulls_last(), "column").limit(most)
+
+
 def before_after(before: DataFrame, after: DataFrame, column: str, ddof: int = 0) -> DataFrame:
     """(stage, n, n_missing, mean, median, std, min, max) of a number before and after imputation."""
     out = None

@@ -217,6 +217,22 @@ def corr_indicator_numeric(df):
     return evidence.indicator_correlations(df, ["discount"]).select("feature", "n", F.round("r", 6).alias("r"))
 
 
+@query("lineitem_gap", "WITH c AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {_R.format(_Y, f'CAST({f} AS DOUBLE)')} AS r FROM lineitem_gap" for f in ("l_orderkey", "l_quantity", "l_extendedprice", "l_tax"))
+       + "), k AS (SELECT feature, round(r, 6) AS r, CAST(row_number() OVER (ORDER BY abs(r) DESC, feature) AS INTEGER) AS rank FROM c) SELECT feature, r, rank FROM k WHERE rank <= 5")
+def top_correlated_features(df):
+    return evidence.top_features(evidence.indicator_correlations(df, ["discount"]), "r").select("feature", F.round("r", 6).alias("r"), "rank")
+
+
+@query("orders_gap", f"WITH r AS ({_RATES}), s AS (SELECT feature, max(rate) FILTER (WHERE n >= 5) - min(rate) FILTER (WHERE n >= 5) AS spread FROM r GROUP BY feature) SELECT feature, round(spread, 9) AS spread, CAST(row_number() OVER (ORDER BY spread DESC, feature) AS INTEGER) AS rank FROM s")
+def top_spread_features(df):
+    return evidence.top_features(evidence.group_spread(df, ["price"]), "spread").select("feature", F.round("spread", 9).alias("spread"), "rank")
+
+
+@query("orders_gap", "WITH r AS (SELECT o_orderstatus, count(*) AS n, (count(*) - count(price)) / count(*) AS rate FROM orders_gap GROUP BY 1) SELECT count(*) AS n_levels, round(max(rate) - min(rate), 9) AS spread FROM r WHERE n >= 5")
+def categorical_target_spread(df):
+    return evidence.class_spread(df, "price", "o_orderstatus").withColumn("spread", F.round("spread", 9))
+
+
 @query("events_target", f"SELECT count(target) AS n, round({_R.format('CAST(feat IS NULL AS DOUBLE)', 'target')}, 6) AS r FROM events_target")
 def point_biserial(df):
     return evidence.point_biserial(df, "feat", "target").select("n", F.round("r", 6).alias("r"))
@@ -303,6 +319,11 @@ def rubin_pool(df):
     return p.select("m", *(F.round(F.expr(e), k).alias(n) for e, k, n in (("q", 6, "pooled_estimate"), ("u", 6, "within_variance"), ("b", 6, "between_variance"), ("t", 6, "total_variance"), ("sqrt(t)", 6, "std_error"), ("df", 4, "df"), ("(r + 2 / (df + 3)) / (r + 1)", 6, "fmi"))))
 
 
+@query("events_gap", f"{_MNAR}, p AS (SELECT (SELECT delta FROM t WHERE outside_ci AND delta <> 0 ORDER BY abs(delta), delta LIMIT 1) AS tipping_point) SELECT 'value' AS column_name, tipping_point FROM p")
+def mnar_fragile_first(df):
+    return sensitivity.fragile_first(df, ["value"]).select(F.col("column").alias("column_name"), "tipping_point")
+
+
 @query("customer_gap", """WITH f AS (SELECT coalesce(acctbal, (SELECT median(acctbal) FROM customer_gap)) AS v FROM customer_gap)
   SELECT 'before' AS stage, count(acctbal) AS n, count(*) - count(acctbal) AS n_missing, round(avg(acctbal), 6) AS mean, median(acctbal) AS median, round(stddev_pop(acctbal), 6) AS std, min(acctbal) AS min, max(acctbal) AS max FROM customer_gap
   UNION ALL SELECT 'after', count(v), 0, round(avg(v), 6), median(v), round(stddev_pop(v), 6), min(v), max(v) FROM f""")
