@@ -80,6 +80,18 @@ def test_logistic_test_under_separation(spark):
     assert evidence.logistic_lr(df.limit(10), "income", ["edu"]) is None
 
 
+def test_both_solvers_agree(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(600):
+        a, b = rng.normal(size=2)
+        rows.append((float(a), None if rng.random() < 0.1 else float(b), None if rng.random() < 1 / (1 + np.exp(-a - 0.5)) else 1.0))
+    df = spark.createDataFrame(rows, "a double, b double, gap double")
+    newton = evidence.logistic_lr(df, "gap", ["a", "b"])
+    descent = evidence.logistic_lr(df, "gap", ["a", "b"], newton_to=0)
+    assert abs(newton["statistic"] - descent["statistic"]) < 1e-6 and newton["df"] == 2
+
+
 def test_bayesian_ridge_recovers_a_line():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 2))
