@@ -40,10 +40,11 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words remembered by a task, and code points over which one is not.
-MEMO, LONG_WORD = 800_000, 64
+MEMO, LONG_WORD = 400_000, 64
 #: Words encoded as one sequence.
 GROUP = 64
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+SPACED = re.compile(" +[^ ]*")
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -141,7 +142,7 @@ def backend(m: Model):
 class Codec:
     """Encodes and decodes batches, and verifies parity."""
 
-    def __init__(self, raw: bytes, threads: int = THREADS):
+    def __init__(self, raw: bytes, threads: int = THREADS, memo: int = MEMO):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         import sentencepiece
@@ -156,6 +157,7 @@ class Codec:
             self.words = backend(self.model)
             self.words.normalizer = None
             self.words.pre_tokenizer = None
+        self.most = memo
         self.memo: dict[str, bytes] = {}
         self.bad: set[str] = set()
         self.lossy: set[str] = set()
@@ -174,15 +176,16 @@ class Codec:
             same = [self.other.encode(t, num_threads=1) == i if t else not i for t, i in zip(texts, ids)]
             ids = [np.array(i, np.int32) for i in ids]
             return ids, [a == b for a, b in zip(texts, self.decode(ids))], same
-        if len(self.memo) > MEMO:
+        if len(self.memo) > self.most:
             self.memo.clear()
-        cut = [WORDS.findall((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
+        # a space stands for the marker here, as the normaliser has it: such words take less memory
+        cut = [SPACED.findall((" " + t).replace(MARK, " ")) if t else [] for t in texts]
         fresh = list(set().union(*cut).difference(self.memo))
-        raws, bare = self._encode_words(fresh), [w[1:].replace(MARK, " ") for w in fresh]
+        raws, bare = self._encode_words([w.replace(" ", MARK) for w in fresh]), [w[1:] for w in fresh]
         self.memo.update(zip(fresh, raws))
         # the other library puts the first marker back itself; alone it can't be asked for
         told = self.other.encode(bare, num_threads=1)
-        self.bad.update(w for w, a, b in zip(fresh, raws, told) if a != array("i", b).tobytes() and w != MARK)
+        self.bad.update(w for w, a, b in zip(fresh, raws, told) if a != array("i", b).tobytes() and w != " ")
         self.lossy.update(self._lossy(fresh, raws))
         out = [np.frombuffer(b"".join(map(self.memo.__getitem__, words)), np.int32) for words in cut]
         for w in fresh:
@@ -205,20 +208,21 @@ class Codec:
         """The words that do not decode to themselves; groups that do are done at once."""
         spans = [(at, at + GROUP) for at in range(0, len(words), GROUP)]
         whole = self.decode([np.frombuffer(b"".join(raws[a:b]), np.int32) for a, b in spans])
-        again = [k for (a, b), text in zip(spans, whole) if text != "".join(words[a:b])[1:].replace(MARK, " ") for k in range(a, min(b, len(words)))]
+        again = [k for (a, b), text in zip(spans, whole) if text != "".join(words[a:b])[1:] for k in range(a, min(b, len(words)))]
         back = self.decode([np.frombuffer(raws[k], np.int32) for k in again]) if again else []
-        return [words[k] for k, text in zip(again, back) if text != words[k][1:].replace(MARK, " ")]
+        return [words[k] for k, text in zip(again, back) if text != words[k][1:]]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.backend.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
 
 
-def encoded(docs: DataFrame, text_col: str = "text", model: str = MODEL, threads: int = THREADS, carry: list[str] | None = None, with_ids: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, text_col: str = "text", model: str = MODEL, threads: int = THREADS, memo: int = MEMO, carry: list[str] | None = None, with_ids: bool = True) -> DataFrame:
     """(row, ids, n_tokens, ids_sha256, exact, parity): token ids of each text; whether they decode to it and both libraries agree.
 
     ``row`` holds the columns ``carry`` (all, if not given). ``ids_sha256`` is of the ids as
-    little-endian 32-bit numbers; ``with_ids`` false leaves the ids themselves away. The
-    model file is read on the driver and travels with the tasks.
+    little-endian 32-bit numbers; ``with_ids`` false leaves the ids themselves away. A task
+    remembers up to ``memo`` words, some 150 bytes each. The model file is read on the
+    driver and travels with the tasks.
     """
     with open(model, "rb") as f:
         raw = f.read()
@@ -227,7 +231,7 @@ def encoded(docs: DataFrame, text_col: str = "text", model: str = MODEL, threads
     names = ["row", *(["ids"] if with_ids else []), "n_tokens", "ids_sha256", "exact", "parity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(raw, threads)
+        codec = Codec(raw, threads, memo)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 part = whole.slice(at, 256)
@@ -251,5 +255,5 @@ def ids_sha256(ids: np.ndarray) -> str:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document: their number and digest, and both verifications."""
-    out = encoded(table(spark, sf_dir, "documents"), carry=["doc_id"], with_ids=False)
+    out = encoded(table(spark, sf_dir, "documents"), memo=2 * MEMO, carry=["doc_id"], with_ids=False)
     return out.select("row.doc_id", "n_tokens", "ids_sha256", "exact", "parity")
