@@ -77,6 +77,15 @@ class Rolling:
         return mixed((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
 
 
+def range_hashes(buf: bytes, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """Hashes of ascending byte ranges, over a stretch of the buffer at a time, so that a long text takes little memory."""
+    out = [np.zeros(0, np.uint64)]
+    for at in range(0, len(starts), step):
+        s, e = starts[at : at + step], ends[at : at + step]
+        out.append(Rolling(buf[s[0] : e[-1]]).of(s - s[0], e - s[0]))
+    return np.concatenate(out)
+
+
 def bounds(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of a text joined by single spaces."""
     cut = np.flatnonzero(np.frombuffer(buf, np.uint8) == 32)
@@ -90,16 +99,16 @@ def anchors(text: str | None, window: int = WINDOW, gram: int = GRAM):
     n = len(starts)
     if not buf or n < window:
         return None
-    rolling = Rolling(buf)
-    g = rolling.of(starts[: n - gram + 1], ends[gram - 1 :])
+    g = range_hashes(buf, starts[: n - gram + 1], ends[gram - 1 :])
     width = window - gram + 1
     view = np.lib.stride_tricks.sliding_window_view(g, width)
-    choice = np.concatenate([at + width - 1 - view[at : at + 65536, ::-1].argmin(axis=1) + np.arange(len(view[at : at + 65536])) for at in range(0, len(view), 65536)])
+    stretches = ((at, view[at : at + (1 << 13), ::-1]) for at in range(0, len(view), 1 << 13))
+    choice = np.concatenate([at + width - 1 - part.argmin(axis=1) + np.arange(len(part)) for at, part in stretches])
     first = np.flatnonzero(np.concatenate([[True], choice[1:] != choice[:-1]]))
     last = np.concatenate([first[1:], [len(choice)]]) - 1
     anchor = choice[first]
     place = mixed(((anchor - first) * 64 + (last - first)).astype(np.uint64) + _U(1))
-    reach = mixed(rolling.of(starts[first], ends[last + window - 1]) ^ place)
+    reach = mixed(range_hashes(buf, starts[first], ends[last + window - 1]) ^ place)
     return g[anchor].view(np.int64), reach.view(np.int64), first.astype(np.int32), (last - first + 1).astype(np.int32)
 
 
