@@ -114,6 +114,24 @@ def test_bands_reject_repetition_and_noise(spark):
     assert {r.doc_id: r.kept for r in quality_rules.judge(frame).collect()} == {1: True, 2: False, 3: False}
 
 
+def test_bands_part_labelled_documents(spark):
+    d = "/root/testdata/sf0.01"
+    out = quality_rules.op9_quality_rules(spark, d).where("NOT base_failed").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    good, bad = ([r.kept for r in out if r.quality == q] for q in (1, 0))
+    assert len(good) > 100 and sum(good) >= 0.99 * len(good)
+    assert len(bad) > 10 and sum(bad) <= 0.6 * len(bad)
+
+
+@pytest.mark.parametrize("size", [1000, 5000, 20_000, 60_000])
+def test_bands_reject_encoded_words(size):
+    import base64
+    import random
+
+    code = base64.b64encode(random.Random(3).randbytes(size)).decode()
+    words = " ".join(code[k : k + 8] for k in range(0, size, 8))
+    assert not quality_rules.within_bands(words.encode(), quality_rules.zstandard.ZstdCompressor(level=3))
+
+
 def test_quality_rules_edge_cases(spark):
     rows = {(r.doc_id, r.n_words): r for r in quality_rules.judge(edge_frame(spark)).collect()}
     assert rows[1, 0].base_failed and not rows[1, 0].kept and rows[2, 0].word_chars == 0 and rows[4, 1].word_chars == 300_000
