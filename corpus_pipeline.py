@@ -28,7 +28,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id."""
+    """One document of each group of near duplicates, that with the smallest id.
+
+    Near duplicates are those of op1's contract (3-word shingles, 3 of 64 bits), not all texts of
+    5-word similarity 0.8: the README has the share of these that it links.
+    """
     return simhash.one_of_each(docs)
 
 
