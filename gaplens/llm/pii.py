@@ -9,7 +9,8 @@ local parser walks to the boundaries of the item and validates it:
 - ``card``   digits with single spaces or dashes between, 14 to 19, Luhn
 - ``phone``  plus sign, 10 to 15 digits with the usual separators
 - ``url``    scheme with ``://`` and a host
-- ``account`` an identifier after a cue word: IBAN (checked modulo 97) or a value with at least six digits
+- ``account`` an identifier after a cue word: an IBAN of its country's length (modulo 97, or in capitals), or else
+  groups that each hold a digit, six digits in all; groups are added up to 34 letters and digits
 
 The first four kinds are the base: their spans equal the leftmost non-overlapping
 matches of the patterns in ``BASE``, less those that fail validation. The other two
@@ -53,7 +54,23 @@ CARD_RUN = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 URL_REST = re.compile(r"[A-Za-z0-9.\[\]:@%_~-]+(?:[/?#][^\x00-\x20\"<>|\\^`{}]*)?")
 SCHEME_LEFT = re.compile(r"(?:%s)$" % "|".join(SCHEMES), re.IGNORECASE)
-ACCOUNT = re.compile(r"(?:\x20?(?:no|nr|number|nummer|id)\b\.?)?[\x20:#=\"]{1,4}([A-Za-z]{0,4}[0-9](?:[\x20-]?[A-Za-z0-9]){5,33})")
+CUE_REST = re.compile(r"(?:\x20?(?:no|nr|number|nummer|id)\b\.?)?[\x20:#=\"]{1,4}")
+#: The first group of an identifier, and a next one: it holds a digit and is no word like "3rd" or "10am".
+FIRST_GROUP = re.compile(r"[A-Za-z]{0,4}[0-9][A-Za-z0-9]*")
+NEXT_GROUP = re.compile(r"[\x20-](?![0-9]+[a-z]+(?![A-Za-z0-9]))(?=[A-Za-z]*[0-9])[A-Za-z0-9]+")
+#: Letters and digits to which groups are added, and the lengths of IBANs by country.
+LONGEST = 34
+IBAN_LENGTHS = {
+    country: size
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+IBANS = {n: re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[\x20-]?[A-Za-z0-9]){%d}(?![A-Za-z0-9])" % (n - 4)) for n in set(IBAN_LENGTHS.values())}
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -67,8 +84,7 @@ def automaton() -> ahocorasick.Automaton:
             for gap in ("", " ", "-"):
                 found.add_word(a + gap + b, ("card", 2 + len(gap)))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, ("account", len(form)))
+        found.add_word(cue, ("account", len(cue)))
     found.make_automaton()
     return found
 
@@ -108,13 +124,35 @@ def _iban(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
 
 
+def _lowered(text: str) -> str:
+    """``text`` in lower case, position by position."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(x := c.lower()) > 1 else x for c in text)
+
+
+def _account(text: str, at: int) -> int | None:
+    """The end of the identifier that begins at ``at``: an IBAN at its country's length, else groups that hold digits."""
+    size = IBAN_LENGTHS.get(text[at : at + 2].upper())
+    m = IBANS[size].match(text, at) if size else None
+    if m and (_iban(m[0]) or (m[0].upper() == m[0] and sum(c in DIGITS for c in m[0]) >= 6)):
+        return m.end()
+    m = FIRST_GROUP.match(text, at)
+    if not m:
+        return None
+    end, size = m.end(), m.end() - at
+    while (m := NEXT_GROUP.match(text, end)) and size + len(m[0]) - 1 <= LONGEST:
+        end, size = m.end(), size + len(m[0]) - 1
+    return end if sum(c in DIGITS for c in text[at:end]) >= 6 else None
+
+
 def spans(text: str | None, machine: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """All validated spans (start, end, kind) of a text in code points, by start."""
     if not text:
         return []
     found: list[tuple[int, int, str]] = []
     done = dict.fromkeys(KINDS, 0)  # where the last candidate of a kind ended
-    for last, (kind, size) in machine.iter(text):
+    low = _lowered(text)  # cues stand in any case; no other anchor has letters
+    for last, (kind, size) in machine.iter(low):
         start = last + 1 - size
         if start < done[kind]:
             continue
@@ -157,12 +195,10 @@ def spans(text: str | None, machine: ahocorasick.Automaton) -> list[tuple[int, i
                 done[kind] = end
                 found.append((scheme.start(), end, kind))
         else:
-            m = ACCOUNT.match(text, start + size)
-            if m and (start == 0 or not text[start - 1].isalnum()):
-                begin, end = m.span(1)
+            m = CUE_REST.match(low, start + size)
+            if m and (start == 0 or not text[start - 1].isalnum()) and (end := _account(text, m.end())):
                 done[kind] = end
-                if _iban(m[1]) or sum(c in DIGITS for c in m[1]) >= 6:
-                    found.append((begin, end, kind))
+                found.append((m.end(), end, kind))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

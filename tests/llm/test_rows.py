@@ -53,6 +53,19 @@ def test_added_spans():
     assert kinds == [("https://me:pw@host.example/x?y=1", "url"), ("DE89 3704 0044 0532 0130 00", "account"), ("12345678", "account")]
 
 
+@pytest.mark.parametrize("text, want", [
+    ("account no 12345678 is closed and we are sorry about that", ["12345678"]),
+    ("account 12345678 passport C01X00T47 iban DE89 3704 0044 0532 0130 00", ["12345678", "C01X00T47", "DE89 3704 0044 0532 0130 00"]),
+    ("IBAN DE89 3704 0044 0532 0130 00 belongs to Anna", ["DE89 3704 0044 0532 0130 00"]),
+    ("iban GB29 NWBK 6016 1331 9268 19 and acct 1234-5678-90 10am", ["GB29 NWBK 6016 1331 9268 19", "1234-5678-90"]),
+    ("iban GB28 NWBK 6016 1331 9268 19 is mistyped", ["GB28 NWBK 6016 1331 9268 19"]),
+    ("account 2 people came in 2019 and account 654321 left", ["654321"]),
+    ("İ Tax ID: 123456, cUSTOMER nO 765432, Account No. 87654321", ["123456", "765432", "87654321"]),
+])
+def test_accounts_end_where_the_identifier_ends(text, want):
+    assert [text[a:b] for a, b, k in pii.spans(text, MACHINE) if k == "account"] == want
+
+
 def test_pii_query_equals_brute_force(spark, small):
     got = {r.doc_id: r for r in pii.op3_pii(spark, small).collect()}
     docs = spark.read.parquet(f"{small}/documents.parquet").collect()
