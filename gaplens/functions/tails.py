@@ -22,7 +22,7 @@ def _gamma_upper(a: float, x: float) -> float:
     b = x + 1 - a
     c, d = 1 / tiny, 1 / b
     h = d
-    for i in range(1, 10_000):
+    for i in range(1, 10_000 + 20 * math.isqrt(int(a))):  # near x = a it takes some multiple of the root
         an = i * (a - i)
         b += 2
         d = an * d + b

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..functions.tails import chi2_sf
 from ..operators import evidence as ev
 from ..operators.columns import categorical_columns, normalise, numeric_columns
 from ..operators.impute import PlanImputer
@@ -68,12 +69,12 @@ def _target(df: DataFrame, column: str, target: str) -> dict:
         if row is None or row["r"] is None:
             return {}
         return {"target_p": round(stats.correlation_p(row["r"], row["n"]), 6), "target_effect": round(row["r"], 4)}
-    cells: dict[str, list[int]] = {}
-    for r in ev.contingency(df, column, target).limit(2000).collect():
-        cells.setdefault(r["level"], [0, 0])[1 - r["missing"]] = r["n"]
-    test = stats.chi2_independence([[a for a, _ in cells.values()], [b for _, b in cells.values()]])
-    shares = [a / (a + b) for a, b in cells.values() if a + b >= ev.MIN_GROUP]
-    return {"target_p": round(test["p_value"], 6) if test else None, "target_effect": round(max(shares) - min(shares), 4) if len(shares) > 1 else None}
+    table = ev.contingency(df, column, target)
+    test = ev.chi2_frame(table).first()
+    classes = table.groupBy("level").agg(F.sum("n").alias("n"), F.sum(F.col("missing") * F.col("n")).alias("n_missing")).where(F.col("n") >= ev.MIN_GROUP)
+    share = F.col("n_missing") / F.col("n")
+    wide = classes.agg(F.count(F.lit(1)).alias("k"), (F.max(share) - F.min(share)).alias("spread")).first()
+    return {"target_p": round(chi2_sf(test["statistic"], test["df"]), 6) if test else None, "target_effect": round(wide["spread"], 4) if wide["k"] > 1 else None}
 
 
 class Audit:

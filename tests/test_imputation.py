@@ -186,6 +186,21 @@ def test_sensitivity(spark):
     assert sensitivity.categorical_alerts(words, impute.fill(words, "w", "categorical_missing_token"), "w") == ["w: over 30 % are MISSING"]
 
 
+def test_categorical_target_of_many_classes(spark):
+    from gaplens.functions import stats
+
+    rng = random.Random(7)
+    rows = [(None if rng.random() < 0.3 else 1.0, f"class {i % 3000}", i % 7) for i in range(18_000)]
+    cells = {}
+    for x, t, _ in rows:
+        cells.setdefault(t, [0, 0])[x is not None] += 1
+    want = stats.chi2_independence(list(zip(*cells.values())))
+    shares = [a / (a + b) for a, b in cells.values()]
+    found = next(e for e in mechanism(spark.createDataFrame(rows, "x double, t string, y int"), "t") if e.column == "x")
+    assert found.target_p == round(want["p_value"], 6) and 0 < found.target_p < 1
+    assert found.target_effect == round(max(shares) - min(shares), 4)
+
+
 def test_rules_in_python_and_sql_agree(spark):
     from itertools import product
 
