@@ -103,14 +103,17 @@ def numeric_alerts(before: DataFrame, after: DataFrame, column: str) -> list[str
 
 
 def categorical_alerts(before: DataFrame, after: DataFrame, column: str, token: str = "MISSING") -> list[str]:
-    """Drift alerts: the token holds over 30 %, or the commonest value more than doubled to over 30 %."""
-    shares = lambda df: {r["v"]: r["n"] for r in df.where(~missing(df, column)).groupBy(F.col(q(column)).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").limit(1000).collect()}
-    a, b = shares(before), shares(after)
-    na, nb = sum(a.values()), sum(b.values())
+    """Drift alerts: the token holds over 30 %, or the commonest value more than doubled to over 30 %; shares are of all observed rows."""
+    values = lambda df: df.where(~missing(df, column)).select(F.col(q(column)).cast("string").alias("v"))
+    totals = lambda df, v: values(df).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") == F.lit(v)).alias("held")).first()
     out = []
-    if nb and b.get(token, 0) / nb > 0.30:
+    b = totals(after, token)
+    if b["n"] and b["held"] / b["n"] > 0.30:
         out.append(f"{column}: over 30 % are {token}")
-    top = next(iter(b), None)
-    if top is not None and top != token and na and b[top] / nb > 0.30 and b[top] / nb > 2 * a.get(top, 0) / na:
-        out.append(f"{column}: {top} more than doubled")
+    commonest = values(after).groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").first()
+    top = commonest["v"] if commonest else None
+    if top is not None and top != token and commonest["n"] / b["n"] > 0.30:
+        a = totals(before, top)
+        if a["n"] and commonest["n"] / b["n"] > 2 * a["held"] / a["n"]:
+            out.append(f"{column}: {top} more than doubled")
     return out

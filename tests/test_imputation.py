@@ -186,6 +186,16 @@ def test_sensitivity(spark):
     assert sensitivity.categorical_alerts(words, impute.fill(words, "w", "categorical_missing_token"), "w") == ["w: over 30 % are MISSING"]
 
 
+def test_categorical_alerts_count_all_values(spark):
+    words = spark.range(20_000).select(F.when(F.col("id") >= 2000, F.concat(F.lit("v"), "id")).alias("w"))
+    assert sensitivity.categorical_alerts(words, impute.fill(words, "w", "categorical_missing_token"), "w") == []
+    moved = words.fillna("common")  # 10 % of all rows
+    assert sensitivity.categorical_alerts(words, moved, "w") == []
+    half = words.withColumn("w", F.when(F.col("w") > "v5", F.col("w")).otherwise("common"))
+    assert sensitivity.categorical_alerts(words, half, "w") == ["w: common more than doubled"]
+    assert sensitivity.categorical_alerts(half, half, "w") == [] == sensitivity.categorical_alerts(words.limit(0), words.limit(0), "w")
+
+
 def test_categorical_target_of_many_classes(spark):
     from gaplens.functions import stats
 
