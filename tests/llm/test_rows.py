@@ -145,6 +145,20 @@ def test_bands_reject_encoded_words(size):
     assert not quality_rules.within_bands(words.encode(), quality_rules.zstandard.ZstdCompressor(level=3))
 
 
+@pytest.mark.parametrize("part", [0.1, 0.9])
+def test_bands_reject_a_passage_of_noise(spark, part):
+    import random
+    import string
+
+    d, rng, packer = "/root/testdata/sf0.01", random.Random(11), quality_rules.zstandard.ZstdCompressor(level=3)
+    good = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet").where("quality = 1"), "doc_id")
+    texts = [t for t in (r.text.encode() for r in good.where("n_chars > 2000").orderBy("doc_id").limit(60).collect()) if quality_rules.within_bands(t, packer)]
+    assert len(texts) > 20
+    noise = lambda n: "".join(rng.choices(string.digits + string.ascii_letters + string.punctuation + " ", k=n)).encode()
+    passed = [quality_rules.within_bands(t + b"\n" + noise(int(part * len(t))), packer) for t in texts]
+    assert sum(passed) <= (0.1 if part < 0.5 else 0) * len(texts)
+
+
 def test_quality_rules_edge_cases(spark):
     rows = {(r.doc_id, r.n_words): r for r in quality_rules.judge(edge_frame(spark)).collect()}
     assert rows[1, 0].base_failed and not rows[1, 0].kept and rows[2, 0].word_chars == 0 and rows[4, 1].word_chars == 300_000
