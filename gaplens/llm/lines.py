@@ -2,10 +2,11 @@
 
 The state is a set of runs: tables of line keys (hashed), each bucketed and sorted by
 the hash, with the number of documents and the largest document id that held the
-line. A new batch is aggregated, merge-joined to the runs (the anti-join tells which
-keys are new) and becomes a run of level 0. ``FANOUT`` runs of a level are compacted
-into one of the next. Bucketed runs meet without a shuffle; only new keys move, after
-they were combined where they were read.
+line. A new batch is aggregated, merge-joined to the runs (which marks the keys that
+are new as ``first``) and becomes a run of level 0. ``FANOUT`` runs of a level are
+compacted into one of the next. Bucketed runs meet without a shuffle; only a batch's
+keys move, after they were combined where they were read. The totals of a key come
+from a merge of all runs; the marks do not decide them.
 
 A line's key is the line without ASCII white space at its ends and with A-Z in lower
 case, kept as 96 bits of two hashes. Keys of at least ``MIN_CHARS`` code points found
