@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +38,26 @@ def _path(spark: SparkSession, where: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
+@contextmanager
+def spent_shuffles(spark: SparkSession):
+    """Within it, the shuffle files of a write go when the write is done: nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def own_place(spark: SparkSession, name: str) -> str:
+    """A new folder of this application; it goes when the application ends, or earlier by hand."""
+    where = f"{shared_dir(spark)}/gaplens-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    fs, path = _path(spark, where)
+    fs.deleteOnExit(path)
+    return where
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -45,12 +65,9 @@ def store(df: DataFrame, name: str) -> DataFrame:
     The folder goes when the application ends, or earlier with ``discard``.
     """
     spark = df.sparkSession
-    where = f"{shared_dir(spark)}/gaplens-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(where)
-    fs, path = _path(spark, where)
-    fs.deleteOnExit(path)
-    gc.collect()
-    spark._jvm.System.gc()  # the lineage is cut: its shuffle files can go now
+    where = own_place(spark, name)
+    with spent_shuffles(spark):
+        df.write.parquet(where)
     back = spark.read.schema(df.schema).parquet(where)
     back._stored_at = where
     return back

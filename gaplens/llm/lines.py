@@ -2,11 +2,13 @@
 
 The state is a set of runs: tables of line keys (hashed), each bucketed and sorted by
 the hash, with the number of documents and the largest document id that held the
-line. A new batch is aggregated, merge-joined to the runs (which marks the keys that
-are new as ``first``) and becomes a run of level 0. ``FANOUT`` runs of a level are
-compacted into one of the next. Bucketed runs meet without a shuffle; only a batch's
-keys move, after they were combined where they were read. The totals of a key come
-from a merge of all runs; the marks do not decide them.
+line. No key is in two runs: a new batch is merge-anti-joined to the runs, and only
+the keys that none holds become a run of level 0. The batch's other keys, which some
+run holds, go with their counts to ``again``, which is as small as lines that come
+back are few. ``fanout`` runs of a level are merged into one of the next, a full outer
+merge join that finds no equal keys. Bucketed runs meet without a shuffle; only a
+batch's keys move, after they were combined where they were read. A key's totals are
+those of its run and of ``again``.
 
 A line's key is the line without ASCII white space at its ends and with A-Z in lower
 case, kept as 96 bits of two hashes. Keys of at least ``MIN_CHARS`` code points found
@@ -14,7 +16,8 @@ in at least ``MIN_DOCS`` documents lose all their lines except in the largest do
 id that holds one. All of it is DataFrame functions.
 
 Edge cases: a null or empty text is one empty line; rows with a null id are neither
-counted nor changed; rows that repeat an id count as one document and each keeps or
+counted nor changed; a very long text is one row, and its lines are split where it is
+read, so it costs a few times its size in one task; rows that repeat an id count as one document and each keeps or
 loses its own lines; a line repeated in one document counts once and goes or stays
 everywhere in it; other columns are carried along or ignored; an empty table gives an
 empty result.
@@ -24,11 +27,12 @@ from __future__ import annotations
 
 import string
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _path, shared_dir, store, table
+from .common import _path, discard, own_place, spent_shuffles, store, table
 
 SPACE = " \t\n\x0b\f\r"
 MIN_CHARS = 20
@@ -47,21 +51,30 @@ def split_lines(text: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled runs of line keys: (h1, h2, n_docs, last_doc, first)."""
+    """Levelled runs of distinct line keys (h1, h2, n_docs, last_doc), and the counts of keys that came again."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.again: list[DataFrame] = []
+        self._places: dict[str, str] = {}
+
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in list(self._places):
+            self._drop(name)
+        discard(*self.again)
+        self.levels, self.again = [], []
 
     def _write(self, df: DataFrame) -> str:
+        """A sorted run: one file for each bucket, since each task holds one bucket."""
         name = f"line_run_{uuid.uuid4().hex}"
-        where = f"{shared_dir(self.spark)}/gaplens-{self.spark.sparkContext.applicationId}/{name}"
-        # one task for each bucket, so a run has one sorted file for each
-        df.repartition(self.buckets, "h1").write.bucketBy(self.buckets, "h1").sortBy(*KEY).option("path", where).saveAsTable(name)
-        fs, path = _path(self.spark, where)
-        fs.deleteOnExit(path)
-        self._places = {**getattr(self, "_places", {}), name: where}
+        self._places[name] = where = own_place(self.spark, name)
+        with spent_shuffles(self.spark):
+            df.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", where).saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
@@ -69,25 +82,26 @@ class LineRuns:
         fs, path = _path(self.spark, self._places.pop(name))
         fs.delete(path, True)
 
-    def _union(self, names: list[str]) -> DataFrame:
-        out = self.spark.table(names[0])
-        for n in names[1:]:
-            out = out.unionByName(self.spark.table(n))
-        return out
+    @property
+    def runs(self) -> list[str]:
+        return [n for level in self.levels for n in level]
 
     def unseen(self, batch: DataFrame) -> DataFrame:
         """The rows of ``batch`` (with h1, h2) whose key no run holds."""
-        for name in (n for level in self.levels for n in level):
-            batch = batch.join(self.spark.table(name).where("first").select(*KEY), KEY, "left_anti")
+        for name in self.runs:
+            batch = batch.join(self.spark.table(name).select(*KEY).hint("merge"), KEY, "left_anti")
         return batch
 
     def add(self, batch: DataFrame) -> None:
         """Take in a batch (h1, h2, n_docs, last_doc) with one row for each key."""
-        known = batch.withColumn("first", F.lit(True))
-        for name in (n for level in self.levels for n in level):
-            seen = self.spark.table(name).where("first").select(*KEY, F.lit(True).alias("_seen"))
-            known = known.join(seen, KEY, "left").withColumn("first", F.col("first") & F.col("_seen").isNull()).drop("_seen")
-        name = self._write(known)
+        name = self._write(batch.select(*KEY, "n_docs", "last_doc").repartition(self.buckets, *KEY))
+        if self.runs:
+            whole = self.spark.table(name)
+            fresh = self._write(self.unseen(whole))
+            # what isn't fresh came again
+            self.again.append(store(whole.join(self.spark.table(fresh).select(*KEY).hint("merge"), KEY, "left_anti"), "lines-again"))
+            self._drop(name)
+            name = fresh
         level = 0
         while True:
             if len(self.levels) == level:
@@ -100,17 +114,34 @@ class LineRuns:
             level += 1
 
     def _compact(self, names: list[str]) -> str:
-        made = self._write(self._merged(names))
+        """One run of several: a merge of sorted buckets, in which no two keys are equal."""
+        out = self.spark.table(names[0])
+        for n in names[1:]:
+            more = self.spark.table(n).select(*KEY, F.col("n_docs").alias("n2"), F.col("last_doc").alias("d2"))
+            out = out.join(more.hint("merge"), KEY, "full_outer").select(*KEY, F.coalesce("n_docs", "n2").alias("n_docs"), F.coalesce("last_doc", "d2").alias("last_doc"))
+        made = self._write(out)
         for n in names:
             self._drop(n)
         return made
 
-    def _merged(self, names: list[str]) -> DataFrame:
-        return self._union(names).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.bool_or("first").alias("first"))
-
-    def keys(self) -> DataFrame:
-        """Every key once, with its totals over all runs."""
-        return self._merged([n for level in self.levels for n in level])
+    def totals(self) -> DataFrame:
+        """(h1, h2, n_docs, last_doc): every key once, with its totals over all batches."""
+        if not self.runs:
+            return self.spark.createDataFrame([], "h1 long, h2 int, n_docs long, last_doc long")
+        if len(self.again) > 1:
+            parts = reduce(DataFrame.unionByName, self.again).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+            whole = store(parts, "lines-again")
+            discard(*self.again)
+            self.again = [whole]
+        more = self.again[0].select(*KEY, F.col("n_docs").alias("n2"), F.col("last_doc").alias("d2")) if self.again else None
+        out = None
+        for name in self.runs:
+            run = self.spark.table(name)
+            if more is not None:
+                total = (F.col("n_docs") + F.coalesce("n2", F.lit(0))).alias("n_docs")
+                run = run.join(more.hint("merge"), KEY, "left").select(*KEY, total, F.greatest("last_doc", "d2").alias("last_doc"))
+            out = run if out is None else out.unionByName(run)
+        return out
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -122,15 +153,15 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), "doc", "at")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """(row, n_lines, n_dropped, kept): the input row as a struct, so that no name clashes, and what stays of its text."""
     lines = store(line_table(docs, id_col, text_col), "lines")
-    runs = LineRuns(docs.sparkSession)
-    for b in range(BATCHES):
-        part = lines.where(F.pmod(F.xxhash64("doc"), F.lit(BATCHES)) == b)
-        runs.add(part.groupBy(*KEY).agg(F.count_distinct("doc").alias("n_docs"), F.max("doc").alias("last_doc")))
-    # written, so that both sides of the join come from a shuffle and a common line's partition can be split
-    common = store(runs.keys().where(F.col("n_docs") >= MIN_DOCS).select(*KEY, "last_doc"), "common-lines")
+    with LineRuns(docs.sparkSession, fanout) as runs:
+        for b in range(batches):
+            part = lines.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b)
+            runs.add(part.groupBy(*KEY).agg(F.count_distinct("doc").alias("n_docs"), F.max("doc").alias("last_doc")))
+        # written, so that both sides of the join come from a shuffle and a common line's partition can be split
+        common = store(runs.totals().where(F.col("n_docs") >= MIN_DOCS).select(*KEY, "last_doc"), "common-lines")
     drops = lines.join(common, KEY).where(F.col("doc") != F.col("last_doc")).groupBy("doc").agg(F.collect_set("at").alias("ats"))
     text = F.coalesce(F.col("row")[text_col], F.lit(""))
     out = docs.select(F.struct("*").alias("row")).join(drops, F.col("row")[id_col] == F.col("doc"), "left")

@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from gaplens.llm import chat, lines
 
@@ -41,16 +42,41 @@ def test_line_dedup_edge_cases(spark):
     assert lines.dedup_lines(frame(spark, [])).count() == 0
 
 
-def test_runs_tell_new_keys_and_compact(spark):
-    runs = lines.LineRuns(spark, fanout=2, buckets=4)
-    for b in range(5):
-        batch = spark.range(b * 10, b * 10 + 30).selectExpr("id AS h1", "0 AS h2", "1L AS n_docs", f"{b}L AS last_doc")
-        new = runs.unseen(batch).count()
-        assert new == (30 if b == 0 else 10)
-        runs.add(batch)
-    assert [len(x) for x in runs.levels] == [1, 0, 1]
-    total = {r.h1: (r.n_docs, r.last_doc, r.first) for r in runs.keys().collect()}
-    assert len(total) == 70 and total[35] == (3, 3, True) and total[0] == (1, 0, True)
+def test_runs_hold_each_key_once(spark):
+    with lines.LineRuns(spark, fanout=2, buckets=4) as runs:
+        for b in range(5):
+            batch = spark.range(b * 10, b * 10 + 30).selectExpr("id AS h1", "0 AS h2", "1L AS n_docs", f"{b}L AS last_doc")
+            assert runs.unseen(batch).count() == (30 if b == 0 else 10)
+            runs.add(batch)
+        assert [len(x) for x in runs.levels] == [1, 0, 1]
+        assert sorted(spark.table(n).count() for n in runs.runs) == [10, 60]
+        assert sum(a.count() for a in runs.again) == 80
+        plan = runs.unseen(spark.table(runs.runs[0]))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan and "Broadcast" not in plan
+        total = {r.h1: (r.n_docs, r.last_doc) for r in runs.totals().collect()}
+        assert len(total) == 70 and total[35] == (3, 3) and total[0] == (1, 0)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+@pytest.mark.parametrize("batches,fanout", [(1, 2), (2, 3), (3, 2), (4, 2), (5, 8), (6, 2), (7, 3), (9, 2)])
+def test_runs_over_real_lines(spark, batches, fanout):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = lines.line_table(docs, "doc_id", "text").cache()
+    want = {(r.h1, r.h2): (r.n, r.d) for r in found.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("d")).collect()}
+    with lines.LineRuns(spark, fanout) as runs:
+        for b in range(batches):
+            part = found.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b)
+            runs.add(part.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n_docs"), F.max("doc").alias("last_doc")))
+        rows = runs.totals().collect()
+    assert len(rows) == len(want) and {(r.h1, r.h2): (r.n_docs, r.last_doc) for r in rows} == want
+    found.unpersist()
+
+
+@pytest.mark.parametrize("batches,fanout", [(3, 4), (6, 2)])
+def test_line_dedup_equals_sql_over_several_runs(spark, small, batches, fanout):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    out = lines.dedup_lines(docs, batches=batches, fanout=fanout)
+    assert_same(out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")), lines.OP7_SQL, small)
 
 
 def test_fold_of_events(spark):
