@@ -4,26 +4,34 @@ Seeds are winnowed anchors: of every window of 50 words the 20-word gram with th
 least hash. Equal windows have equal anchors, so documents that share a window meet
 when anchors are joined; what shares no anchor shares no window and is done with.
 
-An anchor's reach is the run of windows that chose it. A seed is extended both ways
-to its whole reach at once: where that equals the reach of the same anchor in a
-document with a smaller id, all of it is a repeat. Only where reaches of one anchor
-differ are its windows compared one by one, once for each distinct reach and by an
-equality join on their hashes, since extending pairs would grow with the square of a
-common passage. Neighbouring repeats are joined to maximal ones, which have at least
-50 words each.
-
-Every meeting is an aggregation that combines before it shuffles, or a join with such
-an aggregate. Aggregates are written first: both sides of a join then come straight
-from a shuffle, and Spark can split the partition of a common key.
-
-Edge cases: a null text has no words; texts under 50 words keep everything; rows with
-a null id keep everything and are no source; rows that repeat an id are one document,
-so they are never a smaller one to each other; other columns are carried along in
-``row``; an empty table gives an empty result.
+An anchor's reach is the run of windows that chose it: some words before the anchor,
+the anchor, some words after it. A place whose reach equals (by 128 bits) that of a
+document with a smaller id is a repeat as far as it reaches. Where reaches of one
+anchor differ, one place of each distinct reach is compared word by word with a
+representative, the place of the smallest document: the match is extended to the left
+and to the right as far as words agree, and the windows inside it are repeats. Windows
+that go beyond the match can only be shared with places that depart from the
+representative at the same word in the same way, so these meet in groups of their
+own, with a representative of their own, until nothing is left to compare. Each round
+compares a place once, whatever the size of its group. Neighbouring repeats are joined
+to maximal ones, which have at least 50 words each.
+
+Texts are shuffled once, into a table bucketed by row number; seeds are made there and
+spans come back there. Every meeting of seeds is an aggregation that combines before
+it shuffles, or a join with such an aggregate. Aggregates are written first: both
+sides of a join then come straight from a shuffle, and Spark can split the partition
+of a common key.
+
+Edge cases: a null text has no words; texts under 50 words keep everything; a very
+long text is hashed a stretch at a time, and costs a few times its size in one task;
+rows with a null id keep everything and are no source; rows that repeat an id are one
+document, so they are never a smaller one to each other; other columns are carried
+along in ``row``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import compress
 
@@ -34,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, discard, encode, store, table
+from .common import WORD, discard, encode, own_place, spent_shuffles, store, table
 
 WINDOW = 50
 GRAM = 20
@@ -93,7 +101,8 @@ def bounds(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(text: str | None, window: int = WINDOW, gram: int = GRAM):
-    """(anchor, reach, first, count) of each winnowed anchor: its hash, the hash of its reach, and the windows that chose it."""
+    """(anchor, r1, r2, first, n, hi) of each winnowed anchor: its hash, 128 bits of its reach, the first of the
+    ``n`` windows that chose it, and how many words before the anchor that window begins."""
     buf = b" ".join(encode(text).split())
     starts, ends = bounds(buf)
     n = len(starts)
@@ -107,50 +116,119 @@ def anchors(text: str | None, window: int = WINDOW, gram: int = GRAM):
     first = np.flatnonzero(np.concatenate([[True], choice[1:] != choice[:-1]]))
     last = np.concatenate([first[1:], [len(choice)]]) - 1
     anchor = choice[first]
-    place = mixed(((anchor - first) * 64 + (last - first)).astype(np.uint64) + _U(1))
-    reach = mixed(range_hashes(buf, starts[first], ends[last + window - 1]) ^ place)
-    return g[anchor].view(np.int64), reach.view(np.int64), first.astype(np.int32), (last - first + 1).astype(np.int32)
+    hi, count = anchor - first, last - first + 1
+    places, begin, end = (hi * 64 + count).tolist(), starts[first].tolist(), ends[last + window - 1].tolist()
+    digests = b"".join(xxhash.xxh3_128_digest(buf[b:e], place) for b, e, place in zip(begin, end, places))
+    reach = np.frombuffer(digests, np.int64).reshape(-1, 2)
+    return g[anchor].view(np.int64), reach[:, 0], reach[:, 1], first.astype(np.int32), count.astype(np.int32), hi.astype(np.int32)
 
 
 def _anchor_rows(window: int, gram: int):
+    """Seeds of (rid, doc, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "reach", "doc", "tag", "first", "n"]
+        names = ["anchor", "r1", "r2", "doc", "rid", "first", "n", "hi"]
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 part = whole.slice(at, 256)
                 made = []
-                for doc, tag, text in zip(*(part.column(k).to_pylist() for k in range(3))):
+                for rid, doc, text in zip(*(part.column(k).to_pylist() for k in range(3))):
                     if (found := anchors(text, window, gram)) is not None:
-                        a, r, f, n = found
-                        made.append((a, r, np.full(len(a), doc, np.int64), np.full(len(a), tag, np.int32), f, n))
+                        size = len(found[0])
+                        made.append((*found[:3], np.full(size, doc, np.int64), np.full(size, rid, np.int64), *found[3:]))
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], names=names)
 
     return run
 
 
-def _window_rows(window: int):
-    """(w1, w2, doc, tag, first) of the listed windows of each text."""
+#: A place to compare: its group, its reach, its document, the least and largest number of words before the anchor
+#: that a window still in question begins with, the words before the anchor, and those from it on. ``found``
+#: marks the result instead: windows that a smaller document has.
+PLACE = "k1 long, k2 long, anchor long, r1 long, r2 long, doc long, lo int, hi int, left binary, right binary, found boolean"
+_PLACE = pa.schema([*((c, pa.int64()) for c in ("k1", "k2", "anchor", "r1", "r2", "doc")), ("lo", pa.int32()), ("hi", pa.int32()), ("left", pa.binary()), ("right", pa.binary()), ("found", pa.bool_())])
+
+
+def _place_rows(window: int):
+    """Places of the listed reaches (anchor, r1, r2, doc, first, n, hi) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["w1", "w2", "doc", "tag", "first"]
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
-                part = whole.slice(at, 64)
-                made = []
-                for doc, tag, text, spans in zip(*(part.column(k).to_pylist() for k in range(3)), part.column(3)):
-                    buf = b" ".join(encode(text).split())
-                    starts, ends = bounds(buf)
-                    first = _windows(spans.values.to_numpy())
-                    digests = b"".join(xxhash.xxh3_128_digest(buf[s:e]) for s, e in zip(starts[first].tolist(), ends[first + window - 1].tolist()))
-                    pair = np.frombuffer(digests, np.int64).reshape(-1, 2)
-                    made.append((pair[:, 0], pair[:, 1], np.full(len(first), doc, np.int64), np.full(len(first), tag, np.int32), first.astype(np.int32)))
-                if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], names=names)
+                part, rows = whole.slice(at, 64), []
+                for text, reaches in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    words = encode(text).split()
+                    for x in reaches:
+                        middle = x["first"] + x["hi"]
+                        left, right = words[x["first"] : middle], words[middle : x["first"] + x["n"] - 1 + window]
+                        rows.append((x["anchor"], 0, x["anchor"], x["r1"], x["r2"], x["doc"], x["hi"] - x["n"] + 1, x["hi"], b" ".join(left), b" ".join(right), False))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PLACE)], schema=_PLACE)
+
+    return run
+
+
+def agreed(a: list[bytes], b: list[bytes]) -> int:
+    """How many words two lists have in common at their beginning."""
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def extended(lo: int, hi: int, left: bytes, right: bytes, rep_left: bytes, rep_right: bytes, window: int):
+    """Extend a match both ways: (least, largest) of the windows inside it, if any, and what goes beyond it on
+    the left and on the right: (least, largest, the words up to the first that differs), or None."""
+    ls, rs = left.split(), right.split()
+    l, r = agreed(ls[::-1], rep_left.split()[::-1]), agreed(rs, rep_right.split())
+    inside = (max(lo, window - r), min(hi, l))
+    over_left = (max(lo, l + 1), hi, b"l" + b" ".join(ls[len(ls) - l - 1 :])) if hi > l else None
+    last = min(hi, l, window - r - 1)
+    over_right = (lo, last, b"r" + b" ".join(rs[: r + 1])) if lo <= last else None
+    return inside if inside[0] <= inside[1] else None, over_left, over_right
+
+
+def _extend_rows(window: int):
+    """Compares places with the representative of their group: what was found, and what is still to compare."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                rows = []
+                for *key, doc, lo, hi, left, right, rep_doc, rep_left, rep_right in zip(*(c.to_pylist() for c in whole.slice(at, 512).columns)):
+                    inside, *beyond = extended(lo, hi, left, right, rep_left, rep_right, window)
+                    if inside and doc > rep_doc:  # another place of the same document goes on, as others may match it
+                        rows.append((*key, doc, *inside, None, None, True))
+                    for low, high, words in filter(None, beyond):
+                        raw = xxhash.xxh3_128_digest(b"%d %d " % (key[0], key[1]) + words)
+                        group = int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+                        rows.append((*group, *key[2:], doc, low, high, left, right, False))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PLACE)], schema=_PLACE)
 
     return run
 
 
+def extensions(places: DataFrame, window: int) -> list[DataFrame]:
+    """Written tables of places, whose rows marked ``found`` hold the windows that a smaller document has, one for each round."""
+    found, now = [], places
+    for k in range(2 * window):
+        rep = F.min(F.struct("doc", "anchor", "r1", "r2", "left", "right"))
+        heads = now.groupBy("k1", "k2").agg(rep.alias("rep"), F.max("doc").alias("most")).where("rep.doc < most")
+        heads = store(heads.select("k1", "k2", F.col("rep.doc").alias("rep_doc"), F.col("rep.left").alias("rep_left"), F.col("rep.right").alias("rep_right")), "representatives")
+        if heads.isEmpty():
+            discard(heads, now if k == 0 else None)
+            return found
+        met = now.join(heads, ["k1", "k2"]).select("k1", "k2", "anchor", "r1", "r2", "doc", "lo", "hi", "left", "right", "rep_doc", "rep_left", "rep_right")
+        after = store(met.mapInArrow(_extend_rows(window), PLACE), "places")
+        discard(heads, now if k == 0 else None)
+        found.append(after)
+        now = after.where("NOT found")
+    raise RuntimeError("more rounds than a window has words")
+
+
 def _windows(codes: np.ndarray) -> np.ndarray:
     """The window numbers that span codes (first * 64 + count) stand for, each once."""
     first, n = codes >> 6, codes & 63
@@ -186,6 +264,47 @@ def _cut_rows(text_col: str, window: int, schema: pa.Schema):
     return run
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(rid, row): the rows, each with a number of its own, in a table bucketed by it."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"numbered_{uuid.uuid4().hex}"
+    rows = docs.select(F.struct("*").alias("row")).select(F.monotonically_increasing_id().alias("rid"), "row").repartition(parts, "rid")
+    with spent_shuffles(spark):
+        rows.write.bucketBy(parts, "rid").option("path", own_place(spark, name)).saveAsTable(name)
+    return spark.table(name)
+
+
+def repeated_spans(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """Written (rid, spans) for (rid, doc, text): span codes (first * 64 + count) of the windows that a smaller document has."""
+    seeds = store(texts.select("rid", "doc", "text").mapInArrow(_anchor_rows(window, gram), "anchor long, r1 long, r2 long, doc long, rid long, first int, n int, hi int"), "seeds")
+    ends = [f(c).alias(f"{c}_{k}") for c in ("r1", "r2") for k, f in enumerate((F.min, F.max))]
+    met = seeds.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), *ends).where("least < most")
+    met = store(met.select("anchor", "least", F.expr("r1_0 = r1_1 AND r2_0 = r2_1").alias("alike")), "met")
+    shared = store(seeds.join(met, "anchor").where("NOT alike OR doc > least"), "shared-seeds")
+    discard(seeds, met)
+
+    # one place of each distinct reach is compared; where a smaller document has the same reach, all of it is a repeat
+    key = ["anchor", "r1", "r2"]
+    differ = shared.where("NOT alike").drop("least", "alike")
+    heads = store(differ.groupBy(*key).agg(F.min(F.struct("doc", "rid", "first", "n", "hi")).alias("head")), "heads")
+    lists = heads.groupBy("head.rid").agg(F.collect_list(F.struct(*key, "head.doc", "head.first", "head.n", "head.hi")).alias("reaches"))
+    listed = texts.join(lists.hint("merge"), "rid").select("text", "reaches")
+    found = extensions(store(listed.mapInArrow(_place_rows(window), PLACE), "places"), window)
+    placed = store(differ.join(heads.select(*key, F.col("head.doc").alias("head")), key).select(*key, "rid", "first", "n", F.col("hi").alias("top"), (F.col("doc") > F.col("head")).alias("copy")), "placed")
+    discard(heads)
+
+    code = lambda first, n: (first.cast("long") * 64 + n).alias("span")
+    whole = code(F.col("first"), F.col("n"))
+    spans = shared.where("alike").select("rid", whole).unionByName(placed.where("copy").select("rid", whole))
+    for part in found:
+        inside = placed.where("NOT copy").join(part.where("found").select(*key, "lo", "hi"), key)
+        spans = spans.unionByName(inside.select("rid", code(F.col("first") + F.col("top") - F.col("hi"), F.col("hi") - F.col("lo") + 1)))
+    spans = store(spans.groupBy("rid").agg(F.collect_list("span").alias("spans")), "spans")
+    discard(shared, placed, *found)
+    return spans
+
+
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(row, n_words, n_removed, kept, repeats): the input row as a struct, and what is left of its text.
 
@@ -193,30 +312,10 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if not gram <= window < gram + 63:
         raise ValueError("a window needs 1 to 63 grams")
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.hash(text_col).alias("tag"), F.col(text_col).alias("text"))
-    seeds = store(texts.mapInArrow(_anchor_rows(window, gram), "anchor long, reach long, doc long, tag int, first int, n int"), "seeds")
-    met = seeds.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min("reach").alias("r0"), F.max("reach").alias("r1"))
-    met = store(met.where("least < most").select("anchor", "least", (F.col("r0") == F.col("r1")).alias("alike")), "met")
-    shared = store(seeds.join(met, "anchor").where("NOT alike OR doc > least"), "shared-seeds")
-    discard(seeds, met)
-    span = (F.col("first").cast("long") * 64 + F.col("n")).alias("span")
-
-    # reaches that differ: those of the smallest document stand for all that equal them
-    differ = shared.where("NOT alike").drop("least", "alike")
-    heads = store(differ.groupBy("anchor", "reach").agg(F.min("doc").alias("head")), "heads")
-    placed = store(differ.join(heads, ["anchor", "reach"]).select("doc", "tag", span, (F.col("doc") > F.col("head")).alias("copy")), "reaches")
-    lists = placed.where("NOT copy").groupBy("doc", "tag").agg(F.collect_list("span").alias("spans"))
-    listed = texts.join(lists, ["doc", "tag"]).select("doc", "tag", "text", "spans")
-    windows = store(listed.mapInArrow(_window_rows(window), "w1 long, w2 long, doc long, tag int, first int"), "windows")
-    least = windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-    least = store(least, "least")
-    repeated = windows.join(least, ["w1", "w2"]).where("doc > least").select("doc", "tag", (F.col("first").cast("long") * 64 + 1).alias("span"))
-
-    spans = shared.where("alike").select("doc", "tag", span).unionByName(placed.where("copy").select("doc", "tag", "span")).unionByName(repeated)
-    spans = store(spans.groupBy("doc", "tag").agg(F.collect_list("span").alias("spans")), "spans")
-    discard(shared, heads, placed, windows, least)
-    rows = docs.select(F.struct("*").alias("row"))
-    found = rows.join(spans, (F.col("row")[id_col] == F.col("doc")) & (F.hash(F.col("row")[text_col]) == F.col("tag")), "left").select("row", "spans")
+    rows = numbered(docs)
+    texts = rows.select("rid", F.col("row")[id_col].cast("long").alias("doc"), F.col("row")[text_col].alias("text")).where("doc IS NOT NULL")
+    spans = repeated_spans(texts, window, gram)
+    found = rows.join(spans.hint("merge"), "rid", "left").select("row", "spans")
     made = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("repeats", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
     fields = [found.schema["row"], *T._parse_datatype_string("n_words long, n_removed long, kept string, repeats array<struct<start: int, end: int>>").fields]
     return found.mapInArrow(_cut_rows(text_col, window, made), T.StructType(fields))

@@ -56,6 +56,22 @@ def test_shuffled_passages(spark, seed):
     assert got == sorted((i, *b) for (i, _), b in zip(docs, brute(docs)))
 
 
+@pytest.mark.parametrize("letters,window,gram", [("ab", 8, 3), ("abc", 6, 2), ("ab", 12, 4)])
+def test_branching_contexts(spark, letters, window, gram):
+    rng = random.Random(window)
+    docs = [(rng.randrange(60), " ".join(rng.choice(letters) for _ in range(rng.randint(5, 60)))) for _ in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = sorted((r.row.doc_id, r.n_words, r.n_removed, r.kept) for r in passages.dedup_passages(df, window=window, gram=gram).collect())
+    assert got == sorted((i, *b) for (i, _), b in zip(docs, brute(docs, window)))
+
+
+def test_extension_both_ways():
+    a, b = b"x1 a b c", b"G H d e f y1"
+    assert passages.extended(0, 4, a, b, b"x2 a b c", b"G H d e f y2", 6) == ((1, 3), (4, 4, b"lx1 a b c"), (0, 0, b"rG H d e f y1"))
+    assert passages.extended(0, 4, a, b, a, b, 6) == ((0, 4), None, None)
+    assert passages.extended(2, 3, a, b, b"c", b"G", 6) == (None, (2, 3, b"lb c"), None)
+
+
 def test_edge_cases(spark):
     long = " ".join(f"v{k % 300}" for k in range(60_000))
     fifty = " ".join(f"q{k}" for k in range(50))
