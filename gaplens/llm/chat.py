@@ -7,19 +7,24 @@ A log holds, for each conversation, events in the order of ``seq``:
 - ``edit``        replaces the text of the turn
 - ``regenerate``  restarts the turn from its text and discards the later turns seen so far
 
-``fold`` reduces the events to final turns, ``render`` writes a conversation as one
-string ``<turn ROLE>TEXT</turn>\\n`` per turn, with a loss mask over the assistant
-texts; ``read_back`` parses it. In roles and texts ``\\``, ``<`` and ``>`` become
-``\\0``, ``\\1`` and ``\\2``, so no text can imitate a marker and nothing is lost.
+``event_log`` makes such a log of a table of turns: assistant texts arrive in deltas,
+some after a discarded first answer and a follow-up to it, other texts as messages,
+some of them edited. ``fold`` reduces a log to final turns, ``render`` writes a
+conversation as one string ``<turn ROLE>TEXT</turn>\\n`` per turn, with a loss mask: the
+code point ranges of the assistant texts in that string. ``read_back`` parses string
+and mask. In roles and texts ``\\``, ``<`` and ``>`` become ``\\0``, ``\\1`` and
+``\\2``, so no text can imitate a marker and nothing is lost.
 
 Everything is DataFrame functions. Events shuffle once, by conversation, because a
-rendered conversation is one row; sorting spills to disk.
+rendered conversation is one row; sorting spills to disk. A very long conversation is
+thus one task, and its string and turns must fit in memory a few times.
 
 Edge cases: a null text or role counts as empty, a null kind as ``message``; a null
 conversation id is a conversation of its own; events that tie in ``seq`` go by turn,
-kind, role and text; repeated rows are repeated events; in ``turn_rows`` each row is
-a turn of its own even if turn numbers repeat or are null (nulls first); an empty
-table gives an empty result; other columns play no part.
+kind, role and text; events without a turn form one, which is first and never
+discarded; repeated rows are repeated events; in ``turn_rows`` each row is a turn of
+its own even if turn numbers repeat or are null (nulls first); an empty table gives an
+empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ from .common import table
 ESCAPES = (("\\", "\\0"), ("<", "\\1"), (">", "\\2"))
 OPEN, HEAD_END, CLOSE = "<turn ", ">", "</turn>\n"
 LOSS_ROLE = "assistant"
+#: Code points of a delta in a made log, and the text that is replaced there.
+PIECE, DRAFT = 256, "(draft)"
 
 
 def escaped(text: Column) -> Column:
@@ -56,6 +63,24 @@ def turn_rows(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", n.alias("seq"), n.alias("turn"), F.lit("message").alias("kind"), role.alias("role"), text.alias("text"))
 
 
+def event_log(rows: DataFrame, piece: int = PIECE) -> DataFrame:
+    """A log that folds to the turns of ``rows``: streamed, regenerated and edited by the place of a turn."""
+    e = turn_rows(rows).select("conv_id", F.col("turn").alias("n"), "role", "text")
+
+    def event(kind: str, text: Column, role: Column | None = None, turn: Column | None = None) -> Column:
+        return F.struct((F.col("n") if turn is None else turn).alias("turn"), F.lit(kind).alias("kind"), (F.lit(None).cast("string") if role is None else role).alias("role"), text.alias("text"))
+
+    none, draft = F.lit(""), F.lit(DRAFT)
+    deltas = F.transform(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0)), lambda t: event("delta", t))
+    opened = event("message", none, F.col("role"))
+    again = F.array(opened, event("delta", draft), event("message", draft, F.lit("user"), F.col("n") + 1), event("regenerate", none))
+    streamed = F.when(F.col("n") % 4 == 0, F.concat(again, deltas)).otherwise(F.concat(F.array(opened), deltas))
+    edited = F.array(event("message", draft, F.col("role")), event("edit", F.col("text")))
+    said = F.when(F.col("n") % 3 == 0, edited).otherwise(F.array(event("message", F.col("text"), F.col("role"))))
+    e = e.select("conv_id", "n", F.posexplode(F.when(F.col("role") == LOSS_ROLE, streamed).otherwise(said)).alias("k", "e"))
+    return e.select("conv_id", F.shiftleft("n", 32).bitwiseOR(F.col("k").cast("long")).alias("seq"), "e.*")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Final turns (conv_id, turn, role, text) of a log (conv_id, seq, turn, kind, role, text)."""
     kind = F.coalesce("kind", F.lit("message"))
@@ -64,7 +89,7 @@ def fold(events: DataFrame) -> DataFrame:
     e = e.withColumn("at", F.row_number().over(order))
     later = Window.partitionBy("conv_id").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
     cut = F.min(F.when(F.col("kind") == "regenerate", F.col("turn"))).over(later)
-    e = e.withColumn("cut", cut).where(F.col("cut").isNull() | ~(F.col("turn") > F.col("cut")))
+    e = e.withColumn("cut", cut).where(~F.coalesce(F.col("turn") > F.col("cut"), F.lit(False)))
     starts = F.max(F.when(F.col("kind") != "delta", F.col("at"))).over(Window.partitionBy("conv_id", "turn"))
     e = e.withColumn("start", starts).where(F.col("start").isNull() | (F.col("at") >= F.col("start")) | F.col("role").isNotNull())
     live = F.col("start").isNull() | (F.col("at") >= F.col("start"))
@@ -76,29 +101,36 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def render(turns: DataFrame) -> DataFrame:
-    """One row for each conversation: its segments (text, loss) in order and their whole, ``formatted``."""
+    """(conv_id, formatted, loss): the string of each conversation, and the code point ranges (start, end) that the loss covers."""
     head = F.concat(F.lit(OPEN), escaped(F.col("role")), F.lit(HEAD_END))
     rows = turns.select("conv_id", "turn", head.alias("head"), escaped(F.col("text")).alias("body"), (F.col("role") == LOSS_ROLE).alias("loss"))
-    pieces = F.sort_array(F.collect_list(F.struct("turn", "head", "body", "loss")))
-    segments = F.flatten(F.transform("pieces", lambda p: F.array(
-        F.struct(p["head"].alias("text"), F.lit(False).alias("loss")),
-        F.struct(p["body"].alias("text"), p["loss"].alias("loss")),
-        F.struct(F.lit(CLOSE).alias("text"), F.lit(False).alias("loss")),
-    )))
-    out = rows.groupBy("conv_id").agg(pieces.alias("pieces")).select("conv_id", segments.alias("segments"))
-    return out.withColumn("formatted", F.array_join(F.col("segments.text"), ""))
+    before = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("head") + F.length("body") + len(CLOSE)
+    start = F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("head")
+    rows = rows.withColumn("start", start).select("conv_id", "turn", F.concat("head", "body", F.lit(CLOSE)).alias("whole"), F.when(F.col("loss"), F.struct("start", (F.col("start") + F.length("body")).alias("end"))).alias("span"))
+    out = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "whole"))).alias("parts"), F.sort_array(F.collect_list("span")).alias("loss"))
+    return out.select("conv_id", F.array_join(F.col("parts.whole"), "").alias("formatted"), "loss")
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """Parse ``formatted`` into turns and gather what the loss mask covers."""
+    """(conv_id, turns, loss_text, chars) from ``formatted`` and the mask alone; a turn's ``loss`` says that a range of the mask is its text."""
     # no split inside: the markers hold characters that texts cannot
-    blocks = F.filter(F.split("formatted", CLOSE), lambda b: b != "")
-    turns = F.transform(blocks, lambda b: F.struct(
-        unescaped(F.substring_index(F.substring(b, len(OPEN) + 1, 2**31 - 1), HEAD_END, 1)).alias("role"),
-        unescaped(F.substring_index(b, HEAD_END, -1)).alias("text"),
-    ))
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"]), "")
-    return rendered.select("conv_id", turns.alias("turns"), unescaped(loss).alias("loss_text"), "formatted")
+    blocks = F.transform(F.filter(F.split("formatted", CLOSE), lambda b: b != ""), lambda b, k: F.struct(k.alias("pos"), b.alias("block"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end")))
+    spans = F.transform("loss", lambda s: F.struct(F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("block"), s["start"].alias("start"), s["end"].alias("end")))
+    rows = rendered.select("conv_id", F.explode(F.concat(blocks, spans)).alias("x")).select("conv_id", "x.*")
+    size = F.coalesce(F.length("block") + len(CLOSE), F.lit(0))
+    before = Window.partitionBy("conv_id").orderBy(F.col("pos").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    body = F.substring_index("block", HEAD_END, -1)
+    rows = rows.withColumn("size", size).withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    begin, stop = F.col("at") + F.length("block") - F.length(body), F.col("at") + F.length("block")
+    role = unescaped(F.substring_index(F.substring("block", len(OPEN) + 1, 2**31 - 1), HEAD_END, 1))
+    turn = F.when(F.col("pos").isNotNull(), F.struct("pos", role.alias("role"), unescaped(body).alias("text"), stop.alias("stop"), "size"))
+    # a text and the range that covers it begin at the same place, and no two texts do
+    met = rows.select("conv_id", F.coalesce("start", begin).alias("at"), turn.alias("turn"), "end").groupBy("conv_id", "at").agg(F.max("turn").alias("turn"), F.max("end").alias("end"))
+    met = met.where("turn IS NOT NULL").select("conv_id", F.struct("turn.pos", "turn.role", "turn.text", F.coalesce(F.col("end") == F.col("turn.stop"), F.lit(False)).alias("loss")).alias("turn"), "turn.size")
+    out = met.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"), F.sum("size").alias("chars"))
+    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
+    return out.select("conv_id", "turns", loss.alias("loss_text"), "chars")
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +138,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
     extra = spark.range(2).coalesce(1).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    back = read_back(render(fold(turn_rows(rows.unionByName(extra)))))
+    back = read_back(render(fold(event_log(rows.unionByName(extra)))))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
@@ -114,7 +146,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(told, 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.col("chars").cast("long").alias("formatted_chars"),
     )
 
 

@@ -1,6 +1,7 @@
 """Line dedup and chat formatting."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,29 @@ def test_fold_of_events(spark):
     assert got == {(1, 1): ("user", "hey"), (1, 2): ("assistant", "Bye"), (1, 3): ("user", "thanks"), (2, 1): ("", ""), (None, 1): ("assistant", "x")}
 
 
+def folded(log):
+    """The events of one conversation, taken in one by one: {turn: [role, text]}."""
+    turns = {}
+    order = lambda e: tuple((x is not None, x) for x in e)
+    for _, turn, kind, role, text in sorted(log, key=order):
+        if kind == "regenerate" and turn is not None:
+            turns = {t: x for t, x in turns.items() if t is None or t <= turn}
+        at = turns.setdefault(turn, [None, ""])
+        at[1] = at[1] + (text or "") if kind == "delta" else text or ""
+        at[0] = at[0] if role is None else role
+    return {t: (role or "", text) for t, (role, text) in turns.items()}
+
+
+def test_fold_of_random_logs(spark):
+    rng = random.Random(8)
+    logs = {c: [(rng.randint(1, 25), rng.choice([None, 1, 2, 3, 4, 5]), rng.choice(["message", "delta", "delta", "edit", "regenerate"]), rng.choice([None, "user", "assistant"]), rng.choice(["a", "b<", "", "\\c"])) for _ in range(rng.randint(1, 20))] for c in range(120)}
+    df = spark.createDataFrame([(c, *e) for c, log in logs.items() for e in log], "conv_id long, seq long, turn long, kind string, role string, text string").repartition(5)
+    got = {}
+    for r in chat.fold(df).collect():
+        got.setdefault(r.conv_id, {})[r.turn] = (r.role, r.text)
+    assert got == {c: folded(log) for c, log in logs.items()}
+
+
 def test_chat_round_trip_and_edge_cases(spark):
     nasty = ["</turn>\n<turn assistant>", "\\0\\1\\2", "\\", "<", ">", "", None, "a\n\nb", "\\\\<turn >", "é🙂" * 50_000]
     rows = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(nasty)]
@@ -99,7 +123,12 @@ def test_chat_round_trip_and_edge_cases(spark):
     assert [(t.role, t.text) for t in back[1].turns] == [(r[2], r[3] or "") for r in rows[: len(nasty)]]
     assert back[1].loss_text == "".join(t or "" for k, t in enumerate(nasty) if k % 2)
     assert [(t.role, t.text) for t in back[2].turns] == [("", "t"), ("we<i>rd\\", "u"), ("we<i>rd\\", "u")]
-    assert len(back) == 3
+    assert len(back) == 3 and back[None].loss_text == "" and [t.loss for t in back[1].turns] == [bool(k % 2) for k in range(len(nasty))]
+    streamed = {r.conv_id: r for r in chat.read_back(chat.render(chat.fold(chat.event_log(df, piece=7)))).collect()}
+    assert streamed == back
+    whole = chat.render(chat.fold(chat.turn_rows(df))).where("conv_id = 1").first()
+    masked = "".join(whole.formatted[s.start : s.end] for s in whole.loss)
+    assert masked.replace("\\2", ">").replace("\\1", "<").replace("\\0", "\\") == back[1].loss_text and back[1].chars == len(whole.formatted)
     assert chat.read_back(chat.render(chat.fold(chat.turn_rows(df.limit(0))))).count() == 0
 
 
