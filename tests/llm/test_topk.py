@@ -17,16 +17,12 @@ def test_query_equals_sql(spark, sf):
 
 
 def brute(rows, k, every):
-    fine = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            w = [math.floor(64 * x) for x in v]
-            fine[i] = min(fine.get(i, w), w)
+    fine = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, v in fine.items():
+    for n, (q, v) in enumerate(fine):
         if q % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in fine.items() if i != q and len(w) == len(v))[:k]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(fine) if m != n and len(w) == len(v))[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
 
@@ -42,6 +38,39 @@ def test_small_cells_ties_and_odd_rows(spark, pivots, block, chunk):
     assert got == brute(rows, 7, 10)
 
 
+def test_clusters_are_excluded(spark):
+    rng = random.Random(2)
+    centres = [[rng.gauss(0, 4) for _ in range(8)] for _ in range(12)]
+    rows = [(i, [c + rng.gauss(0, 0.05) for c in centres[i % 12]]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out, share = topk.search(df, k=5, every=30, pivots=12, block=64, chunk=8)
+    assert sorted(map(tuple, out.collect())) == brute(rows, 5, 30)
+    assert share > 0.6
+
+
+@pytest.mark.parametrize("size", [3, 40])
+def test_bounds_hold(size):
+    import numpy as np
+
+    rng = np.random.default_rng(size)
+    x = np.floor(64 * rng.normal(size=(400, size)) + rng.normal(size=size) * 50)
+    cells = topk.Cells({size: x[:5].copy()}, 5)
+    batch = topk.pa.RecordBatch.from_arrays([topk.pa.array(range(400)), topk.pa.array(range(400)), topk.pa.array(x.astype(np.int64).tolist(), topk.pa.list_(topk.pa.int64()))], names=["rid", "id", "v"])
+    (made,) = topk._assign(cells)(iter([batch]))
+    cell, far, along, off = (made.column(k).to_numpy() for k in range(3, 7))
+    cells.learn([{"cell": c, "n": int((cell == c).sum()), "radius": far[cell == c].max(), "low": along[cell == c].min(), "high": along[cell == c].max(), "off": off[cell == c].max()} for c in np.unique(cell).tolist()])
+    bound = cells.bounds(x)
+    for c in np.unique(cell).tolist():
+        assert (x @ x[cell == c].T <= bound[:, [c - 5 * size]]).all()
+
+
+def test_very_long_vectors(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(5000)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df, k=3, every=10, pivots=4, block=16, chunk=2).collect())) == brute(rows, 3, 10)
+
+
 def test_empty_and_alone(spark):
     df = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")
     assert topk.top_k(df).count() == 0
