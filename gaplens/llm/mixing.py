@@ -7,22 +7,31 @@ documents; the chances are scaled, with those over 1 set to 1, so that the expec
 tokens are the stated fraction of all. A document stays if a hash of its id, as a
 number from 0 to 1, is below its chance, so any rerun or partitioning agrees.
 
-Cells are raked on the driver up to ``CELLS`` of them, otherwise by DataFrame
-aggregations over written tables; either way the result is the same. Up to ``CELLS``
-cells are broadcast to the documents, more are joined. Texts are never shuffled then.
+Topics come from the texts, since the tables have none: of the terms (runs of five or
+more letters, A-Z lowered) that at most a fifth of all documents hold, the ``TOPICS``
+most widespread ones are the topics, counted over all documents. A document's topic is
+the one of them that it holds most often, of equals the rarer; ``other`` without any.
+
+Documents are written once with their tokens and topic, so texts are read twice and
+never shuffled. Cells are raked on the driver up to ``CELLS`` of them, otherwise by
+DataFrame aggregations over written tables; either way the result is the same. Up to
+``CELLS`` cells are broadcast to the documents, more are joined.
 
 Targets: a mapping from values to shares, where values not named keep what they have
 between them; or a power of the present shares (1 keeps them, 0 makes them even).
 
 Edge cases: a null source, language or topic is a value of its own; null and empty
 texts have no tokens, and cells without tokens get the fraction as their chance; a
-null id hashes as an empty string; repeated rows stay or go together; target values
-that no document has are left out; other columns are carried along in ``row``; an
-empty table gives an empty result.
+very long text is cut into an array of its terms, a few times its size, in one task; a
+null id hashes as an empty string; repeated rows each count and stay or go together;
+target values that no document has are left out; other columns are carried along in
+``row``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +41,11 @@ ROUNDS = 20
 CELLS = 50_000
 FRACTION = 0.6
 DIMS = ("source", "lang", "topic")
+TOPICS = 12
+#: One over the largest share of documents that hold a topic's term.
+WIDEST = 5
+#: Terms: any five or more characters that are a-z or not ASCII.
+TERM = r"[^\x00-\x60\x7B-\x7F]{5,}"
 #: The mixture of the query and of the pipeline.
 TARGETS = {
     "source": 0.5,
@@ -44,15 +58,30 @@ def n_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def topic_of(text: Column) -> Column:
-    """A coarse topic by what a text holds; the first that fits."""
-    return (
-        F.when(F.contains(text, F.lit(" | ")), "listing")
-        .when(F.contains(text, F.lit("@")) | F.contains(text, F.lit("://")), "contact")
-        .when(F.contains(text, F.lit("icense")) | F.contains(text, F.lit("opyright")), "legal")
-        .when(F.contains(text, F.lit("!!")) | F.contains(text, F.lit("$$$")), "noise")
-        .otherwise("prose")
-    )
+def terms(text: Column) -> Column:
+    low = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.regexp_extract_all(low, F.lit(TERM), F.lit(0))
+
+
+def topic_terms(docs: DataFrame, text_col: str = "text", count: int = TOPICS) -> list[str]:
+    """The terms that stand for topics, from the most widespread to the rarest, by all documents."""
+    held = docs.select(F.explode(F.array_distinct(terms(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    few = held.where(F.col("df") * WIDEST <= docs.count()).orderBy(F.desc("df"), "term").limit(count)
+    return [r["term"] for r in few.collect()]
+
+
+def topic_of(text: Column, names: list[str]) -> Column:
+    """The name that a text holds most often, of equals the last; ``other`` without any."""
+    if not names:
+        return F.lit("other")
+    topics = F.array(*(F.struct(F.lit(k).alias("rank"), F.lit(n).alias("term")) for k, n in enumerate(names)))
+
+    def most(hits: Column) -> Column:
+        counted = F.transform(topics, lambda t: F.struct(F.size(F.filter(hits, lambda h: h == t["term"])).alias("n"), t["rank"].alias("rank"), t["term"].alias("term")))
+        return F.when(F.size(hits) > 0, F.array_max(counted)["term"]).otherwise("other")
+
+    # an array of one, so that the hits are found once and not for each topic
+    return F.transform(F.array(F.filter(terms(text), lambda t: t.isin(names))), most)[0]
 
 
 def _value(c: Column) -> Column:
@@ -166,13 +195,14 @@ def uniform(id_value: Column) -> Column:
     return F.conv(digits, 16, 10).cast("double") / float(2**52)
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict | None = None, fraction: float = FRACTION, cells_bound: int = CELLS) -> DataFrame:
-    """(row, tokens, probability, kept) of each document."""
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict | None = None, fraction: float = FRACTION, cells_bound: int = CELLS, carry: list[str] | None = None) -> DataFrame:
+    """(row, tokens, probability, kept) of each document; ``row`` holds the columns ``carry`` (all, if not given) and the id."""
     targets = targets or TARGETS
     spark = docs.sparkSession
-    text = F.col("row")[text_col]
-    rows = docs.select(F.struct("*").alias("row"))
-    rows = rows.select("row", n_tokens(text).alias("tokens"), _value(F.col("row")["source"]).alias("source"), _value(F.col("row")["lang"]).alias("lang"), _value(topic_of(text)).alias("topic"))
+    names = topic_terms(docs, text_col)
+    row = F.struct(*(carry or docs.columns))
+    rows = docs.select(row.alias("row"), n_tokens(F.col(text_col)).alias("tokens"), _value(F.col("source")).alias("source"), _value(F.col("lang")).alias("lang"), _value(topic_of(F.col(text_col), names)).alias("topic"))
+    rows = store(rows, "mixture-rows")
     cells = store(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "mixture")
     few = cells.limit(cells_bound + 1).count() <= cells_bound
     if few:
@@ -200,17 +230,21 @@ def _chance(cell: dict, scale: float, fraction: float) -> float:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chance of every document under the target mixture, and whether it stays."""
-    out = mixed(table(spark, sf_dir, "documents"))
+    out = mixed(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("row.doc_id", "tokens", "probability", "kept")
 
 
 def _sql() -> str:
     """The query in SQL: one table for each step of the raking."""
-    topic = """CASE WHEN contains(text, ' | ') THEN '=listing' WHEN contains(text, '@') OR contains(text, '://') THEN '=contact'
-      WHEN contains(text, 'icense') OR contains(text, 'opyright') THEN '=legal' WHEN contains(text, '!!') OR contains(text, '$$$') THEN '=noise' ELSE '=prose' END"""
     steps = [
-        f"""docs AS MATERIALIZED (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS tokens,
-      coalesce('=' || source, 'null') AS source, coalesce('=' || lang, 'null') AS lang, {topic} AS topic FROM documents)""",
+        f"""texts AS MATERIALIZED (SELECT row_number() OVER () AS n, doc_id, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS tokens,
+      coalesce('=' || source, 'null') AS source, coalesce('=' || lang, 'null') AS lang,
+      regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{TERM}') AS terms FROM documents)""",
+        f"""names AS MATERIALIZED (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) AS rank FROM (SELECT unnest(list_distinct(terms)) AS term FROM texts)
+      GROUP BY term HAVING count(*) * {WIDEST} <= (SELECT count(*) FROM texts) ORDER BY rank LIMIT {TOPICS})""",
+        """topics AS MATERIALIZED (SELECT n, '=' || term AS topic FROM (SELECT n, term, row_number() OVER (PARTITION BY n ORDER BY count(*) DESC, rank DESC) AS best
+      FROM (SELECT n, unnest(terms) AS term FROM texts) JOIN names USING (term) GROUP BY n, term, rank) WHERE best = 1)""",
+        "docs AS MATERIALIZED (SELECT texts.*, coalesce(topic, '=other') AS topic FROM texts LEFT JOIN topics USING (n))",
         "w0 AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens, CAST(sum(tokens) AS DOUBLE) AS weight FROM docs GROUP BY ALL)",
         "whole AS MATERIALIZED (SELECT sum(tokens) AS total FROM w0)",
     ]

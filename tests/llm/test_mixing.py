@@ -27,6 +27,17 @@ def test_marginals_meet_targets(spark):
     assert abs(sum(c["weight"] for c in raked) - 2100) < 1e-6
 
 
+def test_topics_come_from_the_texts(spark):
+    texts = ["apples apples Plums", "apples, plums", "plums grow on trees", "éclair éclair", None, "", "plums", "x y z", "apples", "words", "words words plums apples"] + ["nothing"] * 12
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    # "nothing" is in more than a fifth
+    names = mixing.topic_terms(df, count=3)
+    assert names == ["apples", "words", "trees"]
+    got = [r.topic for r in df.orderBy("doc_id").select(mixing.topic_of(mixing.F.col("text"), ["plums", "apples", "words"]).alias("topic")).collect()]
+    assert got[:11] == ["apples", "apples", "plums", "other", "other", "other", "plums", "other", "apples", "words", "words"]
+    assert mixing.topic_terms(df.limit(0)) == []
+
+
 def test_many_cells_give_the_same(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")

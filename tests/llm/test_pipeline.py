@@ -1,5 +1,6 @@
 """The pipeline against a plain version of every stage."""
 
+import collections
 import hashlib
 import re
 
@@ -25,12 +26,17 @@ def plain(docs, model):
     comps = brute_components([(d["doc_id"], brute_fingerprint(d["text"])) for d in docs])
     docs = [d for d, c in zip(docs, comps) if d["doc_id"] == c]
 
-    def topic(t):
-        return "=listing" if " | " in t else "=contact" if "@" in t or "://" in t else "=legal" if "icense" in t or "opyright" in t else "=noise" if "!!" in t or "$$$" in t else "=prose"
+    terms = [re.findall(mixing.TERM, re.sub("[A-Z]", lambda m: m[0].lower(), d["text"])) for d in docs]
+    held = collections.Counter(t for x in terms for t in set(x))
+    names = sorted((t for t in held if 5 * held[t] <= len(docs)), key=lambda t: (-held[t], t.encode()))[: mixing.TOPICS]
+
+    def topic(found):
+        n = [(found.count(name), k, name) for k, name in enumerate(names)]
+        return "=" + (max(n)[2] if n and max(n)[0] else "other")
 
     cells = {}
-    for d in docs:
-        d["cell"] = ("=" + d["source"], "=" + d["lang"], topic(d["text"]))
+    for d, found in zip(docs, terms):
+        d["cell"] = ("=" + d["source"], "=" + d["lang"], topic(found))
         d["tokens"] = len(re.findall(r"[^\x20\x09-\x0D]+", d["text"]))
         cells[d["cell"]] = cells.get(d["cell"], 0) + d["tokens"]
     raked = mixing.rake([dict(zip(mixing.DIMS, c), tokens=t) for c, t in cells.items()], mixing.TARGETS)
