@@ -9,12 +9,15 @@ compress to nearly nothing, so that the difference says little.
 
 Training uses at most ``per_class`` labelled texts of each class (those with the
 smallest hashed ids), skipping texts over ``longest`` code points and stopping at
-``class_bytes``; both bounds are parameters. Scoring covers every text as a whole.
-
-Edge cases: null and empty texts score like a text with both measures zero; null
-and repeated ids are scored row by row; labels that are null are not learnt from;
-several labels of one id each count; without a label of either class every score
-is the share of good labels (0.5 where there is none). Other columns play no part.
+``class_bytes``; the bounds are parameters. Texts are chosen by their sizes, and only
+the chosen ones are fetched. Scoring covers every text as a whole, chunk by chunk, so
+a very long text takes no more memory than itself.
+
+Edge cases: a null or empty text tells nothing and scores ``prior``, the share of good
+labels; null and repeated ids are scored row by row, and a text that rows of one id
+repeat is learnt from once; labels that are null are not learnt from; several labels
+of one id each count; without a label of either class every score is the prior (0.5
+where there is no label). Other columns play no part.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import encode, per_row, table
+from .common import discard, encode, per_row, store, table
 
 CHUNK = 512
 DICTIONARY = 64 * 1024
@@ -45,6 +48,7 @@ class Model:
     bad: bytes
     slopes: tuple[float, float]
     offset: float
+    prior: float
 
     def packers(self):
         made = []
@@ -56,9 +60,7 @@ class Model:
 
 
 def measures(raw: bytes, packers) -> tuple[float, float]:
-    """(bad - good) / (bad + good) of the chunk-wise compressed sizes, and log(good / bytes); zeros for an empty text."""
-    if not raw:
-        return 0.0, 0.0
+    """(bad - good) / (bad + good) of the chunk-wise compressed sizes, and log(good / bytes)."""
     good = bad = 0
     for at in range(0, len(raw), CHUNK):
         part = raw[at : at + CHUNK]
@@ -67,7 +69,11 @@ def measures(raw: bytes, packers) -> tuple[float, float]:
     return (bad - good) / (bad + good), math.log(good / len(raw))
 
 
-def chance(x: tuple[float, float], model: Model) -> float:
+def chance(raw: bytes, model: Model, packers) -> float:
+    """The score of a text."""
+    if not raw:
+        return model.prior
+    x = measures(raw, packers)
     z = model.slopes[0] * x[0] + model.slopes[1] * x[1] + model.offset
     return 1 / (1 + math.exp(-min(max(z, -50.0), 50.0)))
 
@@ -97,38 +103,49 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY:] or b"\x00" * 8
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 6000, longest: int = 20_000, class_bytes: int = 6_000_000) -> Model:
-    """Learn from a bounded sample of the labelled rows outside the held-out fold."""
-    marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & (F.pmod(F.crc32(F.col("_id").cast("string").cast("binary")), F.lit(5)) != 0))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    sides: dict[int, list[bytes]] = {}
+def _sample(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, per_class: int, longest: int, class_bytes: int) -> dict[int, list[bytes]]:
+    """Labelled texts by class, in the order of their hashed ids: sizes are looked at first, and only texts within the bounds fetched."""
+    order = ["h", "_id", "tag"]
+    ids = [marks.where(F.col("_y") == y).select("_id", "_y").orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (1, 0)]
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.xxhash64(text_col).alias("tag"))
+    # at most per_class ids of each class are broadcast; the texts stay where they are
+    near = texts.where(F.length("_t").between(1, longest)).join(F.broadcast(ids[0].unionByName(ids[1])), "_id")
+    sizes = store(near.groupBy("_y", "_id", "tag").agg(F.min(F.octet_length("_t")).alias("size")).withColumn("h", F.xxhash64("_id")), "label-sizes")
+    chosen = []
     for y in (1, 0):
-        ids = marks.where(F.col("_y") == y).select("_id").orderBy(F.xxhash64("_id"), "_id").limit(per_class)
-        # at most per_class ids are broadcast; the texts stay where they are
-        rows = texts.where(F.length("_t").between(1, longest)).join(F.broadcast(ids), "_id").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_t")).limit(per_class)
-        taken, size = [], 0
-        for r in rows.toLocalIterator():
+        size = 0
+        for r in sizes.where(F.col("_y") == y).orderBy(*order).limit(per_class).collect():
             if size >= class_bytes:
                 break
-            taken.append(encode(r["_t"]))
-            size += len(taken[-1])
-        sides[y] = taken
+            chosen.append((r["_y"], r["_id"], r["tag"]))
+            size += r["size"]
+    discard(sizes)
+    keys = docs.sparkSession.createDataFrame(chosen, f"_y int, _id {docs.schema[id_col].dataType.simpleString()}, tag long")
+    rows = texts.join(F.broadcast(keys), ["_id", "tag"]).groupBy("_y", "_id", "tag").agg(F.min("_t").alias("t")).withColumn("h", F.xxhash64("_id"))
+    found = sorted(rows.collect(), key=lambda r: [r[c] for c in order])
+    return {y: [encode(r["t"]) for r in found if r["_y"] == y] for y in (1, 0)}
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 6000, longest: int = 20_000, class_bytes: int = 6_000_000) -> Model:
+    """Learn from a bounded sample of the labelled rows outside the held-out fold."""
+    kind = docs.schema[id_col].dataType
+    marks = labels.select(F.col(id_col).cast(kind).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & (F.pmod(F.crc32(F.col("_id").cast("string").cast("binary")), F.lit(5)) != 0))
+    counts = {r["_y"]: r["count"] for r in marks.groupBy("_y").count().collect()}
+    n1, n0 = counts.get(1, 0), counts.get(0, 0)
+    prior = min(max(n1 / (n1 + n0), 1e-6), 1 - 1e-6) if n1 + n0 else 0.5
+    flat = Model(b"\x00" * 8, b"\x00" * 8, (0.0, 0.0), math.log(prior / (1 - prior)), prior)
+    sides = _sample(docs, marks, id_col, text_col, per_class, longest, class_bytes) if n1 and n0 else {0: [], 1: []}
     if not sides[0] or not sides[1]:
-        n1, n0 = len(sides[1]), len(sides[0])
-        share = n1 / (n1 + n0) if n1 + n0 else 0.5
-        share = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(b"\x00" * 8, b"\x00" * 8, (0.0, 0.0), math.log(share / (1 - share)))
+        return flat
     seen = {y: t[::2] for y, t in sides.items()}
     apart = {y: t[1::2] or t for y, t in sides.items()}
-    model = Model(_dictionary(seen[1]), _dictionary(seen[0]), (0.0, 0.0), 0.0)
+    model = Model(_dictionary(seen[1]), _dictionary(seen[0]), (0.0, 0.0), 0.0, prior)
     packers = model.packers()
     x = np.array([measures(t, packers) for y in (1, 0) for t in apart[y]])
     y = np.array([y for y in (1, 0) for _ in apart[y]])
-    prior = marks.groupBy("_y").count().collect()
-    counts = {r["_y"]: r["count"] for r in prior}
     *slopes, offset = _calibrate(x, y).tolist()
     # the sample holds the classes in other proportions than the labels do
-    offset += math.log(counts[1] / counts[0]) - math.log((y == 1).sum() / (y == 0).sum())
+    offset += math.log(n1 / n0) - math.log((y == 1).sum() / (y == 0).sum())
     model.slopes, model.offset = tuple(slopes), offset
     return model
 
@@ -141,7 +158,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", least: float |
 
     def work(rows: dict) -> dict:
         packers = model.packers()
-        return {out: [chance(measures(encode(t), packers), model) for t in rows[text_col]]}
+        return {out: [chance(encode(t), model, packers) for t in rows[text_col]]}
 
     run = per_row([text_col], work, pa.schema([(out, pa.float64())]), keep=True)
 

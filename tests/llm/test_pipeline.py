@@ -14,7 +14,7 @@ from .test_simhash import brute_components, brute_fingerprint
 
 def plain(docs, model):
     packers = model.packers()
-    docs = [d for d in docs if classifier.chance(classifier.measures(d["text"].encode(), packers), model) >= 0.3]
+    docs = [d for d in docs if classifier.chance(d["text"].encode(), model, packers) >= 0.3]
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
     holders = {}
     for d in docs:

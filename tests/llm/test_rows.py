@@ -7,6 +7,7 @@ import zlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gaplens.llm import classifier, pii, quality_rules
 
@@ -179,11 +180,52 @@ def test_classifier_on_held_out_labels(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
 
 
+def brute_score(text, model):
+    """The score by the words of the module's description."""
+    import math
+
+    import zstandard
+
+    raw = (text or "").encode()
+    if not raw:
+        return model.prior
+    size = {}
+    for side, content in (("good", model.good), ("bad", model.bad)):
+        packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(content), write_checksum=False, write_content_size=False, write_dict_id=False)
+        size[side] = sum(len(packer.compress(raw[k : k + 512])) for k in range(0, len(raw), 512))
+    difference = (size["bad"] - size["good"]) / (size["bad"] + size["good"])
+    z = model.slopes[0] * difference + model.slopes[1] * math.log(size["good"] / len(raw)) + model.offset
+    return 1 / (1 + math.exp(-z)) if z > -50 else 0.0
+
+
+def test_classifier_query_equals_brute_force(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = classifier.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = classifier.op5_quality_classifier(spark, small).collect()
+    assert {r.doc_id for r in rows} == texts.keys() and len(rows) == len(texts)
+    for r in rows:
+        assert abs(r.score - brute_score(texts[r.doc_id], model)) < 1e-9 and r.predicted == int(r.score >= 0.3)
+    # nothing of the held-out fold is learnt from: other labels there change nothing
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    turned = labels.withColumn("quality", F.when(fold, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert classifier.fit(docs, turned) == model
+
+
+def test_classifier_sample_is_bounded(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    marks = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_y"))
+    sides = classifier._sample(docs.unionByName(docs), marks, "doc_id", "text", 9, 3000, 4000)
+    for y, texts in sides.items():
+        assert 0 < len(texts) <= 9 and sum(map(len, texts[:-1])) < 4000 and len(set(texts)) == len(texts)
+
+
 def test_classifier_edge_cases(spark):
     labels = spark.createDataFrame([(5, 1), (7, 0), (None, 1), (1, None)], "doc_id long, quality int")
     model = classifier.fit(edge_frame(spark), labels)
     rows = classifier.scored(edge_frame(spark), model).collect()
     assert len(rows) == len(EDGE) and all(0 <= r._score <= 1 for r in rows) and all(r.score == 1.0 for r in rows)
+    assert {r._score for r in rows if not r.text} == {model.prior} == {0.5}
     none = classifier.fit(edge_frame(spark), labels.limit(0))
     assert {r._score for r in classifier.scored(edge_frame(spark), none).collect()} == {0.5}
     assert classifier.scored(edge_frame(spark, []), model).count() == 0
