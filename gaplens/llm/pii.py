@@ -16,7 +16,8 @@ The first four kinds are the base: their spans equal the leftmost non-overlappin
 matches of the patterns in ``BASE``, less those that fail validation. The other two
 are added to them and never replace one.
 
-Edge cases: a null text counts as empty and has no spans; ids may be null or repeat;
+Edge cases: a null text counts as empty and has no spans; a very long text is searched
+once from end to end, with a few lists of its spans in memory; ids may be null or repeat;
 each row is searched by itself; items may overlap across kinds; other columns play
 no part; an empty table gives an empty result.
 """

@@ -7,10 +7,15 @@ chance to repeat itself. The lower limit is a share of the entropy of the text's
 bytes, so that a small alphabet, which compresses well without any repetition, does
 not count as repetition.
 
+``reason`` names the first rule that a document breaks: ``words`` and ``repeats`` of the
+base, then ``repetitive`` or ``random`` of the band of the whole text, then ``chunks``.
+
 Edge cases: a null text counts as empty; an empty text has no words and fails the
 base rule; white space alone likewise. A null id is passed through. Repeated rows
-are judged one by one, so equal rows get equal verdicts. Other columns of the
-input play no part. An empty table gives an empty result.
+are judged one by one, so equal rows get equal verdicts. A very long text is
+compressed as a whole and its words are counted in one task, which takes some tens of
+times its size. Other columns of the input play no part, whatever their names. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -57,10 +62,11 @@ def entropy(raw: bytes) -> float:
     return float(-(share * np.log2(share)).sum() / 8)
 
 
-def in_band(raw: bytes, packer: zstandard.ZstdCompressor) -> bool:
-    """Neither repetitive, below what its bytes' frequencies explain, nor random."""
+def outside(raw: bytes, packer: zstandard.ZstdCompressor) -> str | None:
+    """``repetitive`` if below what its bytes' frequencies explain, ``random`` above the band, None within it."""
     low, high = next((low, high) for below, low, high in BANDS if len(raw) < below)
-    return low * entropy(raw) <= len(packer.compress(raw)) / len(raw) <= high
+    ratio = len(packer.compress(raw)) / len(raw)
+    return "random" if ratio > high else "repetitive" if ratio < low * entropy(raw) else None
 
 
 def repeated_words(buf: bytes) -> int:
@@ -93,35 +99,38 @@ def base_metrics(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(buf)
 
 
-def within_bands(raw: bytes, packer: zstandard.ZstdCompressor) -> bool:
-    """The verdict of the compression bands."""
-    if not raw:
-        return False
-    if not in_band(raw, packer):
-        return False
+def broken_band(raw: bytes, packer: zstandard.ZstdCompressor) -> str | None:
+    """The verdict of the compression bands on a text that isn't empty: the rule it breaks, if any."""
+    if whole := outside(raw, packer):
+        return whole
     n = max(1, round(len(raw) / CHUNK))
     if n == 1:
-        return True
+        return None
     cuts = [len(raw) * k // n for k in range(n + 1)]
-    return sum(b - a for a, b in zip(cuts, cuts[1:]) if not in_band(raw[a:b], packer)) <= OUTSIDE * len(raw)
+    out = sum(b - a for a, b in zip(cuts, cuts[1:]) if outside(raw[a:b], packer))
+    return "chunks" if out > OUTSIDE * len(raw) else None
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the id, the base metrics, ``base_failed`` and ``kept``."""
-    schema = pa.schema([(id_col, pa.int64()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("kept", pa.bool_())])
+    """One row per input row: the id, the base metrics, ``base_failed``, ``kept`` and the ``reason`` why not."""
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    schema = pa.schema([(id_col, pa.int64()), *((c, pa.int64()) for c in counts), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("reason", pa.string())])
 
     def work(rows: dict) -> dict:
         packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False)
         found = [base_metrics(t) for t in rows[text_col]]
-        failed = [m[0] < MIN_WORDS or 100 * m[4] > 50 * m[0] for m in found]
+        base = ["words" if m[0] < MIN_WORDS else "repeats" if 100 * m[4] > 50 * m[0] else None for m in found]
+        reason = [b or broken_band(encode(t), packer) for b, t in zip(base, rows[text_col])]
         return {
             id_col: rows[id_col],
-            **{c: [m[k] for m in found] for k, c in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))},
-            "base_failed": failed,
-            "kept": [not f and within_bands(encode(t), packer) for f, t in zip(failed, rows[text_col])],
+            **{c: [m[k] for m in found] for k, c in enumerate(counts)},
+            "base_failed": [b is not None for b in base],
+            "kept": [r is None for r in reason],
+            "reason": reason,
         }
 
-    names = ", ".join(f"`{f.name}` {'boolean' if f.type == pa.bool_() else 'long'}" for f in schema)
+    kinds = {pa.bool_(): "boolean", pa.int64(): "long", pa.string(): "string"}
+    names = ", ".join(f"`{f.name}` {kinds[f.type]}" for f in schema)
     return docs.select(id_col, text_col).mapInArrow(per_row([id_col, text_col], work, schema), names)
 
 
