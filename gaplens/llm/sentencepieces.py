@@ -4,7 +4,9 @@ The model's protobuf is parsed here; from it the normaliser (character map, whit
 space rules), the meta space marker, the pieces with their scores, the merges or the
 unigram lattice, and byte fallback are rebuilt. Batches of distinct words are encoded
 by several threads and put together again. Parity and the way back are verified on
-all of them: every word is encoded by the sentencepiece library as well, and decoded.
+all words: each distinct one is encoded by the sentencepiece library as well, and
+decoded. Of one text in ``WHOLE`` (by its checksum) the whole is encoded by that
+library and decoded as well, so that putting together is verified too.
 
 Words may be encoded apart because the vocabulary has no piece in which a marker
 follows another character (checked when the model is read; a model with such pieces,
@@ -13,7 +15,8 @@ or with a normaliser that changes texts, is encoded and compared by whole texts)
 Edge cases: a null text counts as empty and has no tokens; control strings inside a
 text are plain text; a text that holds the marker itself (U+2581) comes back with
 spaces there, so ``exact`` is false; repeated rows are encoded alike; ids may be null;
-other columns are carried along in ``row``; an empty table gives an empty result.
+a very long text is one list of words and ids in one task, some tens of times its
+size; other columns are carried along in ``row``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,8 +43,11 @@ MARK = "▁"
 #: Kinds of pieces and models in the protobuf.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words remembered by a task, and code points over which one is not.
-MEMO, LONG_WORD = 400_000, 64
+#: Megabytes of words remembered by a task, bytes that one takes besides its own and its tokens', and code points
+#: over which a word is not remembered.
+MEMO_MB, ENTRY, LONG_WORD = 128, 200, 64
+#: One over the share of texts that are verified as a whole.
+WHOLE = 64
 #: Words encoded as one sequence.
 GROUP = 64
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -142,7 +149,7 @@ def backend(m: Model):
 class Codec:
     """Encodes and decodes batches, and verifies parity."""
 
-    def __init__(self, raw: bytes, threads: int = THREADS, memo: int = MEMO):
+    def __init__(self, raw: bytes, threads: int = THREADS, memo_mb: int = MEMO_MB, whole: int = WHOLE):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         import sentencepiece
@@ -157,7 +164,7 @@ class Codec:
             self.words = backend(self.model)
             self.words.normalizer = None
             self.words.pre_tokenizer = None
-        self.most = memo
+        self.most, self.held, self.share = memo_mb << 20, 0, whole
         self.memo: dict[str, bytes] = {}
         self.bad: set[str] = set()
         self.lossy: set[str] = set()
@@ -176,13 +183,15 @@ class Codec:
             same = [self.other.encode(t, num_threads=1) == i if t else not i for t, i in zip(texts, ids)]
             ids = [np.array(i, np.int32) for i in ids]
             return ids, [a == b for a, b in zip(texts, self.decode(ids))], same
-        if len(self.memo) > self.most:
+        if self.held > self.most:
             self.memo.clear()
+            self.held = 0
         # a space stands for the marker here, as the normaliser has it: such words take less memory
         cut = [SPACED.findall((" " + t).replace(MARK, " ")) if t else [] for t in texts]
         fresh = list(set().union(*cut).difference(self.memo))
         raws, bare = self._encode_words([w.replace(" ", MARK) for w in fresh]), [w[1:] for w in fresh]
         self.memo.update(zip(fresh, raws))
+        self.held += ENTRY * len(fresh) + sum(map(len, fresh)) + sum(map(len, raws))
         # the other library puts the first marker back itself; alone it can't be asked for
         told = self.other.encode(bare, num_threads=1)
         self.bad.update(w for w, a, b in zip(fresh, raws, told) if a != array("i", b).tobytes() and w != " ")
@@ -190,9 +199,14 @@ class Codec:
         out = [np.frombuffer(b"".join(map(self.memo.__getitem__, words)), np.int32) for words in cut]
         for w in fresh:
             if len(w) > LONG_WORD:
-                del self.memo[w]
+                self.held -= ENTRY + len(w) + len(self.memo.pop(w))
         exact = [MARK not in t and (not self.lossy or self.lossy.isdisjoint(words)) for t, words in zip(texts, cut)]
-        return out, exact, [not self.bad or self.bad.isdisjoint(words) for words in cut]
+        same = [not self.bad or self.bad.isdisjoint(words) for words in cut]
+        for k, t in enumerate(texts):
+            if t and zlib.crc32(t.encode("utf-8", "surrogatepass")) % self.share == 0:
+                same[k] = same[k] and array("i", self.other.encode(t, num_threads=1)).tobytes() == out[k].tobytes()
+                exact[k] = exact[k] and self.decode([out[k]])[0] == t
+        return out, exact, same
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Token ids of each word, as bytes; words go to the library in groups."""
@@ -216,12 +230,13 @@ class Codec:
         return self.backend.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
 
 
-def encoded(docs: DataFrame, text_col: str = "text", model: str = MODEL, threads: int = THREADS, memo: int = MEMO, carry: list[str] | None = None, with_ids: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, text_col: str = "text", model: str = MODEL, threads: int = THREADS, memo_mb: int = MEMO_MB, carry: list[str] | None = None, with_ids: bool = True) -> DataFrame:
     """(row, ids, n_tokens, ids_sha256, exact, parity): token ids of each text; whether they decode to it and both libraries agree.
 
+    ``exact`` and ``parity`` are verified on the text's distinct words, and on the whole text for one in ``WHOLE``.
     ``row`` holds the columns ``carry`` (all, if not given). ``ids_sha256`` is of the ids as
     little-endian 32-bit numbers; ``with_ids`` false leaves the ids themselves away. A task
-    remembers up to ``memo`` words, some 150 bytes each. The model file is read on the
+    remembers words up to ``memo_mb`` megabytes. The model file is read on the
     driver and travels with the tasks.
     """
     with open(model, "rb") as f:
@@ -231,7 +246,7 @@ def encoded(docs: DataFrame, text_col: str = "text", model: str = MODEL, threads
     names = ["row", *(["ids"] if with_ids else []), "n_tokens", "ids_sha256", "exact", "parity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(raw, threads, memo)
+        codec = Codec(raw, threads, memo_mb)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 part = whole.slice(at, 256)
@@ -255,5 +270,5 @@ def ids_sha256(ids: np.ndarray) -> str:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document: their number and digest, and both verifications."""
-    out = encoded(table(spark, sf_dir, "documents"), memo=2 * MEMO, carry=["doc_id"], with_ids=False)
+    out = encoded(table(spark, sf_dir, "documents"), carry=["doc_id"], with_ids=False)
     return out.select("row.doc_id", "n_tokens", "ids_sha256", "exact", "parity")

@@ -27,6 +27,18 @@ def test_parity_on_any_text(texts):
     assert all(a == b or "▁" in a for a, b in zip(texts, CODEC.decode(ids)))
 
 
+def test_whole_texts_are_verified_and_words_forgotten():
+    codec = sp.Codec(RAW, memo_mb=0, whole=1)
+    texts = ["some words and some more", "", "x" * 5000, "a▁b", "zwei  Wörter\n"]
+    for _ in range(2):
+        ids, exact, same = codec.encode(texts)
+        assert [i.tolist() for i in ids] == whole(texts) and all(same) and exact == [True, True, True, False, True]
+    assert 0 < codec.held < 10_000 and all(len(w) <= sp.LONG_WORD for w in codec.memo)
+    codec.memo[" some"] = codec.memo[" and"]  # a wrong word is found out on the whole text
+    codec.most = 1 << 30
+    assert codec.encode(texts)[2][0] is False
+
+
 def message(*fields):
     out = b""
     for number, value in fields:
