@@ -7,9 +7,11 @@ half with one bit blanked. Each distinct fingerprint is indexed under its 64 var
 equal variants meet by one sort within partitions, and the pairs are verified.
 
 A variant's group is solved where it is sorted, and only a spanning forest of its
-links leaves: fewer rows than members, never all pairs. Groups over ``GROUP`` members
-are dealt out once more by the variants of the other half's quarters; what then shares
-a group agrees in 46 bits, so it has at most 2^18 members whatever the data.
+links leaves: fewer rows than members, never all pairs. Halves that over ``GROUP`` / 2
+fingerprints have are counted first. Where a variant covers such a half, the variants of
+the other half's quarters are added to the key before anything is dealt out: what then
+shares a key agrees in 46 bits, so it has at most 2^18 members whatever the data, and
+no other key has more than ``GROUP``.
 
 Links are joined into components by alternating star contraction over written tables.
 Copies are folded into one fingerprint before any of this.
@@ -18,7 +20,7 @@ Edge cases: a null text counts as empty; texts without a word have fingerprint z
 linked like any other; texts with fewer words than a shingle have one shingle, the
 whole; rows with a null id take part and get the component of their fingerprint, but
 name none (a component of null ids alone has a null id); repeated rows give repeated
-rows; other columns play no part; an empty table gives an empty result.
+rows; a very long text is hashed a stretch at a time, a few times its size in one task; other columns play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -98,18 +100,8 @@ def _dense_forest(fp: np.ndarray, reach: int = BITS) -> tuple[np.ndarray, np.nda
     return whole[label[code[other]]], fp[other]
 
 
-def _links(limit: int, dense: bool):
-    """A ``mapInArrow`` function over rows (key..., fp) sorted within the partition.
-
-    Gives rows (a, b, key): a link with key -1 or, where a group is over ``limit``
-    and not ``dense``, its members (a = b) with their key.
-    """
-
-    def solve(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _forest(fp) if len(fp) <= limit else _dense_forest(fp)
-
-    def batch(a, b, key) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).view(np.int64) if np.asarray(x).dtype == np.uint64 else np.asarray(x, np.int64)) for x in (a, b, key)], names=["a", "b", "key"])
+def _links(limit: int):
+    """A ``mapInArrow`` function over rows (key, key2, fp) sorted within the partition: links (a, b) that span the components of each group of equal keys."""
 
     def groups(keys: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         """All groups of whole keys in sorted arrays."""
@@ -128,98 +120,92 @@ def _links(limit: int, dense: bool):
                 a.append(x[hit])
                 b.append(y[hit])
         for s, n in zip(start[size > 8].tolist(), size[size > 8].tolist()):
-            if n > limit and not dense:
-                yield batch(fp[s : s + n], fp[s : s + n], np.full(n, keys[s, 0]))
-            else:
-                x, y = solve(fp[s : s + n])
-                a.append(x)
-                b.append(y)
+            x, y = _forest(fp[s : s + n]) if n <= limit else _dense_forest(fp[s : s + n])
+            a.append(x)
+            b.append(y)
         if sum(map(len, a)):
-            x, y = np.concatenate(a), np.concatenate(b)
-            yield batch(x, y, np.full(len(x), -1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_fp, over = None, np.zeros(0, np.uint64), None
+        held_key, held_fp = None, np.zeros(0, np.uint64)
         for got in batches:
             if not got.num_rows:
                 continue
-            keys = np.column_stack([got.column(k).to_numpy() for k in range(got.num_columns - 1)])
-            fp = got.column(got.num_columns - 1).to_numpy().view(np.uint64)
-            if over is not None:  # the rest of a group that was too large
-                same = int((keys == over).all(axis=1).sum())
-                if same:
-                    yield batch(fp[:same], fp[:same], np.full(same, over[0]))
-                    keys, fp = keys[same:], fp[same:]
-                if not len(fp):
-                    continue
-                over = None
-            if held_key is not None and len(held_fp):
+            keys = np.column_stack([got.column(0).to_numpy(), got.column(1).to_numpy()])
+            fp = got.column(2).to_numpy().view(np.uint64)
+            if len(held_fp):
                 keys, fp = np.concatenate([np.repeat(held_key[None, :], len(held_fp), axis=0), keys]), np.concatenate([held_fp, fp])
             last = len(fp) - int((keys == keys[-1]).all(axis=1).sum())
             yield from groups(keys[:last], fp[:last])
             held_key, held_fp = keys[-1], fp[last:]
-            if len(held_fp) > limit and not dense:
-                over = held_key
-                yield batch(held_fp, held_fp, np.full(len(held_fp), over[0]))
-                held_fp = held_fp[:0]
         if len(held_fp):
             yield from groups(np.repeat(held_key[None, :], len(held_fp), axis=0), held_fp)
 
     return run
 
 
-def _half(fp, v):
-    """The half of the fingerprint that variant ``v`` (0 to 63) is of."""
-    return F.when(v < 32, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
+#: The halves of a fingerprint.
+LOW, HIGH = "fp & 4294967295L", "shiftrightunsigned(fp, 32)"
+
+
+def hot_variants(prints: DataFrame, group: int) -> DataFrame:
+    """Written (side, half, mask): the bits of a half (0 low, 1 high) whose variants cover a half that over ``group`` / 2 fingerprints have."""
+    halves = prints.select(F.explode(F.expr(f"array(struct(0 AS side, {LOW} AS half), struct(1 AS side, {HIGH} AS half))")).alias("h")).select("h.*")
+    hot = store(halves.groupBy("side", "half").count().where(F.col("count") * 2 > group).select("side", "half"), "hot-halves")
+    sides = hot.select("side", F.col("half").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit"))
+    near = sides.select("side", F.expr("own ^ shiftleft(1L, bit)").alias("half"), F.expr("shiftleft(1L, bit)").alias("mask"))
+    every = hot.select("side", "half", F.lit(2**32 - 1).cast("long").alias("mask"))
+    out = store(every.unionByName(near).groupBy("side", "half").agg(F.bit_or("mask").alias("mask")), "hot-variants")
+    discard(hot)
+    return out
 
 
 def links(prints: DataFrame, group: int = GROUP) -> DataFrame:
     """Written pairs (a, b), each in one component, that connect all linked fingerprints of ``prints`` (fp, distinct)."""
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = hot_variants(prints, group)
+    marked = prints.selectExpr("fp", f"{LOW} AS low", f"{HIGH} AS high")
+    for side, name in enumerate(("low", "high")):
+        of = hot.where(F.col("side") == side).select(F.col("half").alias(name), F.col("mask").alias(f"mask{side}"))
+        marked = marked.join(of, name, "left")
+    marked = marked.select("fp", "low", "high", F.coalesce("mask0", F.lit(0)).alias("mask0"), F.coalesce("mask1", F.lit(0)).alias("mask1"))
+    v = marked.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumn("bit", F.col("v") % 32)
+    lower = F.col("v") < 32
+    v = v.select("fp", "v", "bit", F.when(lower, F.col("low")).otherwise(F.col("high")).alias("half"), F.when(lower, F.col("high")).otherwise(F.col("low")).alias("other"), F.when(lower, F.col("mask0")).otherwise(F.col("mask1")).alias("mask"))
     blank = "shiftleft(cast({0} as bigint), 32) | ({1} & ~shiftleft(1L, {2}))"
-    keyed = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v")).select("fp", "v", _half("fp", F.col("v")).alias("half"))
-    keyed = keyed.select(F.expr(blank.format("v", "half", "v % 32")).alias("key"), "fp")
-    keyed = keyed.repartition(parts, "key").sortWithinPartitions("key", "fp")
-    first = store(keyed.mapInArrow(_links(group, False), "a long, b long, key long"), "links")
-    found = first.where("key < 0").select("a", "b")
-    # what is left of large groups: variants of the quarters of the other half
-    rest = first.where("key >= 0").select("key", F.col("a").alias("fp"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("q"))
-    other = F.when(F.shiftright("key", 32) < 32, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
-    rest = rest.select("key", "fp", "q", other.alias("other"))
-    rest = rest.select("key", F.expr(blank.format("q", "(shiftright(other, 16 * cast(q div 16 as int)) & 65535L)", "q % 16")).alias("key2"), "fp")
-    rest = rest.repartition(parts, "key", "key2").sortWithinPartitions("key", "key2", "fp")
-    more = rest.mapInArrow(_links(group, True), "a long, b long, key long").select("a", "b")
-    out = store(found.unionByName(more).distinct(), "all-links")
-    discard(first)
+    # hot variants go on to those of the quarters of the other half
+    quarters = F.when(F.expr("mask & shiftleft(1L, bit)") != 0, F.sequence(F.lit(0), F.lit(31))).otherwise(F.array(F.lit(-1)))
+    keyed = v.select("fp", F.expr(blank.format("v", "half", "bit")).alias("key"), "other", F.explode(quarters).alias("q"))
+    second = F.expr(blank.format("q", "(shiftright(other, 16 * cast(q div 16 as int)) & 65535L)", "q % 16"))
+    keyed = keyed.select("key", F.when(F.col("q") < 0, F.lit(-1).cast("long")).otherwise(second).alias("key2"), "fp")
+    keyed = keyed.repartition(parts, "key", "key2").sortWithinPartitions("key", "key2", "fp")
+    out = store(keyed.mapInArrow(_links(group), "a long, b long").distinct(), "links")
+    discard(hot)
     return out
 
 
-def stars(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def stars(edges: DataFrame) -> DataFrame:
     """Written rows (v, root): the smallest member of the component of every vertex that has an edge and isn't it.
 
-    Alternating large-star and small-star rounds; each is aggregated before it is joined.
+    Alternating large-star and small-star rounds until nothing changes. A centre's least
+    neighbour is aggregated and written before it is joined, so that a centre with very
+    many neighbours can be split.
     """
     now = store(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("root")).distinct(), "stars")
     sums = (F.count("*"), F.bit_xor(F.xxhash64("v", "root")), F.sum(F.xxhash64("v", "root") % 1000003))
-    mark = now.agg(*sums).first()
-    for _ in range(rounds if mark[0] else 0):
+    mark, seen = now.agg(*sums).first(), None
+    while mark[0] and mark != seen:
         both = now.unionByName(now.select(F.col("root").alias("v"), F.col("v").alias("root")))
-        least = both.groupBy("v").agg(F.min("root").alias("m")).select(F.col("v").alias("c"), F.least("v", "m").alias("m"))
+        least = store(both.groupBy("v").agg(F.min("root").alias("m")).select(F.col("v").alias("c"), F.least("v", "m").alias("m")), "least")
         # large star: neighbours above a centre move to the centre's least neighbour
-        large = both.where("root > v").join(least, F.col("v") == F.col("c")).select(F.col("root").alias("v"), F.col("m").alias("root")).where("v <> root").distinct()
+        large = both.where("root > v").join(least, F.col("v") == F.col("c")).select(F.col("root").alias("v"), F.col("m").alias("root")).where("v <> root")
+        large = store(large.distinct(), "large-stars")
         # small star: neighbours below a centre, and the centre, move to the least
-        low = large.groupBy("v").agg(F.min("root").alias("m")).select(F.col("v").alias("c"), "m")
+        low = store(large.groupBy("v").agg(F.min("root").alias("m")).select(F.col("v").alias("c"), "m"), "least")
         small = large.join(low, F.col("v") == F.col("c")).select(F.col("root").alias("v"), F.col("m").alias("root")).where("v <> root")
-        small = small.unionByName(low.select(F.col("c").alias("v"), F.col("m").alias("root"))).distinct()
-        after = store(small, "stars")
-        discard(now)
-        now = after
-        seen = now.agg(*sums).first()
-        if seen == mark:
-            return now
-        mark = seen
-    if mark[0]:
-        raise RuntimeError("components did not settle")
+        after = store(small.unionByName(low.select(F.col("c").alias("v"), F.col("m").alias("root"))).distinct(), "stars")
+        discard(now, least, large, low)
+        now, seen, mark = after, mark, after.agg(*sums).first()
     return now
 
 
@@ -235,7 +221,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, tag, fp, component, root) of every row: its fingerprint, the smallest id that links reach, and the least fingerprint there."""
     marked = store(fingerprints(docs, id_col, text_col), "fingerprints")
     prints = store(marked.groupBy("fp").agg(F.min("id").alias("least")), "prints")
-    root = stars(links(prints.select("fp"), group))
+    edges = links(prints.select("fp"), group)
+    root = stars(edges)
+    discard(edges)
     placed = prints.join(root, F.col("fp") == F.col("v"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = placed.groupBy("root").agg(F.min("least").alias("component"))
     known = placed.join(heads, "root").select(F.col("fp").alias("_fp"), "component", "root")
