@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import evidence as ev
@@ -18,7 +18,7 @@ def missingness_bar(df: DataFrame) -> DataFrame:
 def pattern_matrix(df: DataFrame, key: list[str], rows: int = 300, columns: int = 50, seed: int = 42) -> DataFrame:
     """0/1 flags of a few rows, chosen by a hash of their key."""
     shown = df.columns[:columns]
-    order = F.xxhash64(*(F.col(q(k)) for k in key), F.lit(seed))
+    order = F.md5(F.concat_ws("|", *(F.col(q(k)).cast("string") for k in key), F.lit(str(seed))))
     return df.orderBy(order, *(F.col(q(k)) for k in key)).limit(rows).select(*(missing(df, c).cast("int").alias(c) for c in shown))
 
 
@@ -37,6 +37,11 @@ def missing_correlation(df: DataFrame, least: float = 0.5, top: int = 3) -> Data
     return pairs.orderBy(F.desc(F.abs("r")), "a", "b").limit(top)
 
 
+def decision_flow_frame(spark: SparkSession, steps: list[tuple[str, int]]) -> DataFrame:
+    """(step, n): how many columns reach each step of the decisions."""
+    return spark.createDataFrame(steps, "step string, n long")
+
+
 def suggest(df: DataFrame, target: str | None, n_gaps: int) -> list[str]:
     """Charts worth drawing for a table."""
     out = ["missingness_bar"] if n_gaps else []

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from .columns import categorical_columns, missing, number, numeric_columns, q
+from .gram import cross_sums
 
 MIN_GROUP, MIN_LEVELS, MAX_LEVELS = 5, 2, 50
 MIN_PAIRS = 20
+#: Aggregates in one pass; more are taken as sums of products.
+WIDTH = 60
 
 
 def group_rates(df: DataFrame, columns: list[str], features: list[str] | None = None) -> DataFrame:
@@ -67,17 +68,48 @@ def _paired(c: Column, other: Column) -> Column:
     return F.when(other.isNotNull(), c)
 
 
-def indicator_correlations(df: DataFrame, columns: list[str], features: list[str] | None = None) -> DataFrame:
-    """(column, feature, n, r): missingness of a column against the numbers of another, over rows where that is observed (20 at least)."""
+def _near_zero(df: DataFrame, columns: list[str]) -> list[float]:
+    """A number close to the middle of each column, from a few rows: taken off before squares are summed, it keeps digits and changes no result."""
+    few = df.limit(1000).agg(*(F.avg(F.when(~missing(df, c), number(c))).alias(f"a{k}") for k, c in enumerate(columns))).first()
+    return [x if x is not None and np.isfinite(x) else 0.0 for x in few]
+
+
+def _frame(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def _r(n: float, x: float, xx: float, y: float, yy: float, xy: float) -> float | None:
+    """Pearson's r from sums; None where either side is constant."""
+    vx, vy = xx / n - (x / n) ** 2, yy / n - (y / n) ** 2
+    if vx <= 1e-14 * (xx / n) or vy <= 1e-14 * (yy / n):
+        return None
+    return float((xy / n - (x / n) * (y / n)) / np.sqrt(vx * vy))
+
+
+def indicator_correlations(df: DataFrame, columns: list[str], features: list[str] | None = None, width: int = WIDTH) -> DataFrame:
+    """(column, feature, n, r): missingness of a column against the numbers of another, over rows where that is observed (20 at least).
+
+    One aggregation up to ``width`` aggregates; over that, sums of products by one scan.
+    """
     features = numeric_columns(df) if features is None else features
     pairs = [(c, f) for c in columns for f in features if c != f]
+    if 2 * len(pairs) > width:
+        near = _near_zero(df, features)
+        x = [F.when(~missing(df, f), number(f) - a) for f, a in zip(features, near)]
+        sums = cross_sums(df, [F.lit(1.0), *(missing(df, c) for c in columns)], [y for v in x for y in (v.isNotNull(), v, v * v)])
+        found = []
+        for c, f in pairs:
+            k, (n, sx, sxx), at = columns.index(c) + 1, sums[0, 3 * features.index(f) : 3 * features.index(f) + 3], 3 * features.index(f)
+            if n >= MIN_PAIRS and (r := _r(n, sx, sxx, sums[k, at], sums[k, at], sums[k, at + 1])) is not None:
+                found.append((c, f, int(n), r))
+        return _frame(df, found, "column string, feature string, n long, r double")
     aggs, rows = [], []
     for k, (c, f) in enumerate(pairs):
         x = F.when(~missing(df, f), number(f))
         y = _paired(missing(df, c).cast("double"), x)
         aggs += [correlation(x, y).alias(f"r{k}"), F.count(x).alias(f"n{k}")]
         rows.append(F.struct(F.lit(c).alias("column"), F.lit(f).alias("feature"), F.col(f"n{k}").alias("n"), F.col(f"r{k}").alias("r")))
-    return _batched(df, aggs, rows, 2).where(F.col("r").isNotNull() & (F.col("n") >= MIN_PAIRS))
+    return _inlined(df, aggs, rows).where(F.col("r").isNotNull() & (F.col("n") >= MIN_PAIRS))
 
 
 def top_features(found: DataFrame, by: str, k: int = 5) -> DataFrame:
@@ -91,11 +123,9 @@ def class_spread(df: DataFrame, column: str, target: str) -> DataFrame:
     return group_spread(df, [column], [target]).select("n_levels", "spread")
 
 
-def _batched(df: DataFrame, aggs: list[Column], rows: list[Column], per: int, width: int = 60) -> DataFrame:
-    """Rows made of aggregates, ``per`` aggregates for each row, in passes of bounded width."""
-    step = max(1, width // per)
-    parts = [df.agg(*aggs[per * at : per * (at + step)]).select(F.inline(F.array(*rows[at : at + step]))) for at in range(0, len(rows), step)]
-    return reduce(DataFrame.unionByName, parts)
+def _inlined(df: DataFrame, aggs: list[Column], rows: list[Column]) -> DataFrame:
+    """Rows made of the aggregates of one pass."""
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
 def point_biserial(df: DataFrame, column: str, target: str) -> DataFrame:
@@ -118,10 +148,12 @@ def target_class_split(df: DataFrame, column: str, target: str) -> DataFrame:
     return counts.groupBy("missing").agg(F.sum("k").alias("n"), F.min_by("v", F.struct(-F.col("k"), F.col("v"))).alias("top_class"), (F.max("k") / F.sum("k")).alias("share"))
 
 
-def structural_counts(df: DataFrame, categoricals: list[str], numerics: list[str]) -> DataFrame:
+def structural_counts(df: DataFrame, categoricals: list[str], numerics: list[str], width: int = WIDTH) -> DataFrame:
     """For each (categorical, numeric) pair, counts with the categorical missing and present, by one scan."""
     aggs, rows = [], []
     pairs = [(c, x) for c in categoricals for x in numerics]
+    if 7 * len(pairs) > width:
+        return _structural_sums(df, categoricals, numerics)
     for k, (c, x) in enumerate(pairs):
         gone, v = missing(df, c), number(x)
         none = missing(df, x)
@@ -132,7 +164,23 @@ def structural_counts(df: DataFrame, categoricals: list[str], numerics: list[str
         ]
         names = ("n_cat_na", "n_both_na", "n_zero_na", "n_cat_present", "n_zero_present", "mean_abs_na", "mean_abs_present")
         rows.append(F.struct(F.lit(c).alias("categorical_col"), F.lit(x).alias("numeric_col"), *(F.col(f"{s}{k}").alias(n) for s, n in zip("abcdefg", names))))
-    return _batched(df, aggs, rows, 7)
+    return _inlined(df, aggs, rows)
+
+
+def _structural_sums(df: DataFrame, categoricals: list[str], numerics: list[str]) -> DataFrame:
+    """The same by sums of products."""
+    each = []
+    for x in numerics:
+        none, v = missing(df, x), number(x)
+        each += [none, F.when(none, 0.0).otherwise(v) == 0, F.when(~none, F.abs(v))]
+    sums = cross_sums(df, [F.lit(1.0), *(missing(df, c) for c in categoricals)], [F.lit(1.0), *each])
+    rows = []
+    for i, c in enumerate(categoricals, 1):
+        for j, x in enumerate(numerics):
+            (n, none, zero, size), (gone, gone_none, gone_zero, gone_size) = (sums[k, [0, 3 * j + 1, 3 * j + 2, 3 * j + 3]].tolist() for k in (0, i))
+            mean = lambda total, k: total / k if k else None
+            rows.append((c, x, int(gone), int(gone_none), int(gone_zero), int(n - gone), int(zero - gone_zero), mean(gone_size, gone - gone_none), mean(size - gone_size, n - gone - none + gone_none)))
+    return _frame(df, rows, "categorical_col string, numeric_col string, n_cat_na long, n_both_na long, n_zero_na long, n_cat_present long, n_zero_present long, mean_abs_na double, mean_abs_present double")
 
 
 def structural_pairs(df: DataFrame, categoricals: list[str] | None = None, numerics: list[str] | None = None) -> DataFrame:
@@ -186,21 +234,28 @@ def little_mcar(df: DataFrame, columns: list[str] | None = None) -> dict:
     columns = [c for k, c in enumerate(columns) if seen[f"c{k}"]]
     if len(columns) < 2:
         return {"applicable": False, "reason": "needs two numeric columns"}
-    # centred and scaled for the sums only: the statistic does not change under either
+    # centred for the sums only: the statistic does not change
     ends = df.agg(*(F.avg(F.when(~missing(df, c), number(c))).alias(f"a{k}") for k, c in enumerate(columns))).first()
     moved = df.select(*(F.when(~missing(df, c), number(c) - ends[f"a{k}"]).alias(f"v{k}") for k, c in enumerate(columns)))
     return stats.little_mcar(collect_patterns(moved, moved.columns))
 
 
-def indicator_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def indicator_matrix(df: DataFrame, columns: list[str] | None = None, width: int = WIDTH) -> DataFrame:
     """(a, b, r): correlations of missingness between columns of which some, but not all values are missing."""
     columns = columns or df.columns
-    flags = df.select(*(missing(df, c).cast("double").alias(f"i{k}") for k, c in enumerate(columns)))
     pairs = [(i, j) for i in range(len(columns)) for j in range(len(columns)) if i <= j]
+    if len(pairs) > width:
+        flags = [F.lit(1.0), *(missing(df, c) for c in columns)]
+        sums, found = cross_sums(df, flags, flags), []
+        for i, j in pairs:
+            n, a, b, both = sums[0, 0], sums[0, i + 1], sums[0, j + 1], sums[i + 1, j + 1]
+            if n and (r := _r(n, a, a, b, b, both)) is not None:
+                found.append((columns[i], columns[j], r))
+        return _frame(df, found, "a string, b string, r double")
+    flags = df.select(*(missing(df, c).cast("double").alias(f"i{k}") for k, c in enumerate(columns)))
     aggs = [correlation(F.col(f"i{i}"), F.col(f"i{j}")).alias(f"r{k}") for k, (i, j) in enumerate(pairs)]
     rows = [F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(f"r{k}").alias("r")) for k, (i, j) in enumerate(pairs)]
-    found = _batched(flags, aggs, rows, 1)
-    return found.where(F.col("r").isNotNull())
+    return _inlined(flags, aggs, rows).where(F.col("r").isNotNull())
 
 
 def mean_filled(df: DataFrame, columns: list[str]) -> DataFrame:

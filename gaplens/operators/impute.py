@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import SUFFIX, is_numeric, missing, normalise, number, q
+from .ranges import medians, parts_of, with_range
 
 MISSING, NONE = "MISSING", "NONE"
 ALIASES = {"group_median": "groupwise_numeric_median", "mice_multiple_imputation": "model_based_imputation_optional"}
@@ -67,13 +68,13 @@ class Fitted(Model):
 
 
 def exact_median(df: DataFrame, column: str) -> float | None:
-    return df.agg(F.median(number(column))).first()[0]
+    row = medians(df.where(~missing(df, column)), number(column)).first()
+    return row["m"] if row else None
 
 
 def group_medians(df: DataFrame, column: str, group: str) -> DataFrame:
     """(g, m): the median of each group that has one; null groups have none."""
-    seen = df.where(~missing(df, group) & ~missing(df, column))
-    return seen.groupBy(F.col(q(group)).alias("g")).agg(F.median(number(column)).alias("m"))
+    return medians(df.where(~missing(df, group) & ~missing(df, column)), number(column), F.col(q(group)))
 
 
 def mode_of(df: DataFrame, column: str):
@@ -83,17 +84,18 @@ def mode_of(df: DataFrame, column: str):
     return row["v"]
 
 
-def ordered_fill(df: DataFrame, column: str, order_by: list[str], partition_by: list[str] | None = None, parts: int = 64) -> DataFrame:
+def ordered_fill(df: DataFrame, column: str, order_by: list[str], partition_by: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """Forward, then backward fill in an explicit order.
 
     With ``partition_by`` each entity is filled by itself. Without, the order is cut into
-    ranges of the first key: each range is filled in its own task, and the last value
+    ranges of the keys, whatever their types, as many as the session has shuffle
+    partitions (64 at least): each range is filled in its own task, and the last value
     before and the first after a range come from a table with one row for each range.
     """
     c = F.col(q(column))
     keys = [F.col(q(k)) for k in order_by]
     if not partition_by:
-        return _ranged_fill(df, column, order_by, parts)
+        return _ranged_fill(df, column, order_by, parts or parts_of(df))
     w = Window.partitionBy(*(F.col(q(k)) for k in partition_by))
     before, after = _nearest(c, w, keys)
     return df.withColumn(column, F.coalesce(before, after))
@@ -108,16 +110,9 @@ def _nearest(value, window, keys):
 
 
 def _ranged_fill(df: DataFrame, column: str, order_by: list[str], parts: int) -> DataFrame:
-    first, names = order_by[0], df.columns
-    kind = df.schema[first].dataType
-    scale = F.col(q(first)).cast("double") if is_numeric(df, first) else F.col(q(first)).cast("timestamp").cast("double") if kind.typeName() in ("timestamp", "timestamp_ntz", "date") else None
-    cuts = []
-    if scale is not None:
-        made = df.agg(F.percentile_approx(scale, [k / parts for k in range(1, parts)], 10_000)).first()[0]
-        cuts = sorted(set(made or []))
-    # ties of the first key stay in one range; nulls come first
-    at = F.coalesce(F.size(F.filter(F.lit(cuts), lambda x: x < scale)), F.lit(0)) if cuts else F.lit(0)
-    dealt = df.select(F.struct(*(F.col(q(n)) for n in names)).alias("row"), at.cast("int").alias("part"))
+    names = df.columns
+    dealt = df.select(F.struct(*(F.col(q(n)) for n in names)).alias("row"))
+    dealt = with_range(dealt, [F.col("row").getField(k) for k in order_by], parts)
     value = F.col("row").getField(column)
     keys = [F.col("row").getField(k) for k in order_by]
     rank = F.struct(*keys)

@@ -38,7 +38,7 @@ def _pairs(k: int, width: int):
                 with np.errstate(divide="ignore", invalid="ignore"):
                     d = np.where(shared > 0, np.sqrt(np.maximum(square, 0) * width / shared), np.inf)
                 for n, line in enumerate(d):
-                    best = np.lexsort((did, line))[:k]
+                    best = np.lexsort((did, y, line))[:k]
                     best = best[np.isfinite(line[best])]
                     ids += [rid[at + n]] * len(best)
                     who += did[best].tolist()
@@ -52,7 +52,8 @@ def _pairs(k: int, width: int):
 def knn_fill(df: DataFrame, donors: DataFrame, columns: list[str], k: int = 5, block: int = BLOCK) -> DataFrame:
     """``columns`` filled with the mean of the k nearest donors that have a value, by distance over the numbers both rows have.
 
-    Where no donor shares a number, the mean of the column is used.
+    Of equally near donors those with the smaller value count first. Where no donor shares
+    a number, the mean of the column is used.
     """
     df, donors = normalise(df), normalise(donors)
     names = numeric_columns(donors)
@@ -74,7 +75,7 @@ def _fill_one(df: DataFrame, donors: DataFrame, c: str, names: list[str], k: int
     left = gaps.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(g))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1)).cast("array<bigint>")))
     right = pool.withColumn("b", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(b))).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(g - 1)).cast("array<bigint>")))
     near = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInArrow(_pairs(k, len(names)), "id long, donor long, far double, value double")
-    best = near.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("far", "donor"))).where(F.col("n") <= k).groupBy("id").agg(F.avg("value").alias("value"))
+    best = near.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("far", "value", "donor"))).where(F.col("n") <= k).groupBy("id").agg(F.avg("value").alias("value"))
     rows = df.select(F.struct(*(F.col(q(n)) for n in all_columns)).alias("row"), F.when(missing(df, c), key).alias("key")).join(best, F.col("key") == F.col("id"), "left")
     full = F.coalesce(F.col("row").getField(c).cast("double"), F.col("value"), F.lit(0.0 if mean is None else float(mean)))
     return rows.select(*(full.alias(n) if n == c else F.col("row").getField(n).alias(n) for n in all_columns))

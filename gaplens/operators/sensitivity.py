@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tails import ks_two_sided
 from .columns import missing, normalise, number, q
+from .ranges import medians
 
 #: Shifts in standard deviations.
 DELTAS = (-2.0, -1.5, -1.0, -0.75, -0.5, -0.25, 0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0)
@@ -19,9 +20,8 @@ def trajectory(df: DataFrame, column: str, deltas: tuple[float, ...] = DELTAS) -
     No row with under two observed values or none missing.
     """
     seen = F.when(~missing(df, column), number(column))
-    one = df.agg(
-        F.count(F.lit(1)).alias("n"), F.count(seen).alias("n_observed"), F.avg(seen).alias("cc_mean"), F.stddev_samp(seen).alias("sd"), F.median(seen).alias("median"),
-    ).where("n_observed >= 2 AND n_observed < n")
+    one = df.agg(F.count(F.lit(1)).alias("n"), F.count(seen).alias("n_observed"), F.avg(seen).alias("cc_mean"), F.stddev_samp(seen).alias("sd"))
+    one = one.where("n_observed >= 2 AND n_observed < n").crossJoin(medians(df, seen).select(F.col("m").alias("median")))  # one row each
     rows = one.withColumn("delta", F.explode(F.array(*(F.lit(float(d)) for d in deltas))))
     mean = (F.col("n_observed") * F.col("cc_mean") + (F.col("n") - F.col("n_observed")) * (F.col("median") + F.col("delta") * F.col("sd"))) / F.col("n")
     half = 1.96 * F.col("sd") / F.sqrt("n_observed")
@@ -60,7 +60,9 @@ def before_after(before: DataFrame, after: DataFrame, column: str, ddof: int = 0
     for name, df in (("before", before), ("after", after)):
         v = F.when(~missing(df, column), number(column))
         std = F.stddev_samp(v) if ddof else F.stddev_pop(v)
-        row = df.agg(F.count(v).alias("n"), F.count_if(missing(df, column)).alias("n_missing"), F.avg(v).alias("mean"), F.median(v).alias("median"), std.alias("std"), F.min(v).alias("min"), F.max(v).alias("max")).select(F.lit(name).alias("stage"), "*")
+        row = df.agg(F.count(v).alias("n"), F.count_if(missing(df, column)).alias("n_missing"), F.avg(v).alias("mean"), std.alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+        row = row.join(F.broadcast(medians(df, v).select(F.col("m").alias("median"))), F.lit(True), "left")  # one row each
+        row = row.select(F.lit(name).alias("stage"), "n", "n_missing", "mean", "median", "std", "min", "max")
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -13,10 +13,10 @@ from ..operators import evidence as ev
 from ..operators.columns import categorical_columns, normalise, numeric_columns
 from ..operators.impute import PlanImputer
 from ..operators.profile import profile, summary
-from .rules import ALPHA, SPREAD, Evidence, leakage_findings, make_plan, mechanism_label
+from .rules import DEFAULT, Evidence, Limits, driving_test, evidence_lines, leakage_findings, make_plan, mechanism_label, robustness_note
 
 
-def mechanism(df: DataFrame, target: str | None = None, profiles: list[dict] | None = None, pairs: list[dict] | None = None) -> list[Evidence]:
+def mechanism(df: DataFrame, target: str | None = None, profiles: list[dict] | None = None, pairs: list[dict] | None = None, limits: Limits = DEFAULT) -> list[Evidence]:
     """The evidence on every column; one scan each for profile, groups, correlations and structure, and one fit for each numeric test."""
     df = normalise(df)
     profiles = profiles if profiles is not None else [r.asDict() for r in profile(df, target=target).orderBy("position").collect()]
@@ -26,16 +26,18 @@ def mechanism(df: DataFrame, target: str | None = None, profiles: list[dict] | N
     rates: dict[tuple[str, str], list] = {}
     if gaps and categoricals:
         spread = ev.group_spread(df, gaps, categoricals)
-        wide = {(r["column"], r["feature"]): r["spread"] for r in spread.where(F.col("spread") >= SPREAD).collect()}
+        wide = {(r["column"], r["feature"]): r["spread"] for r in spread.where(F.col("spread") >= limits.spread).collect()}
         if wide:
             cells = ev.group_rates(df, sorted({c for c, _ in wide}), sorted({f for _, f in wide}))
             for r in cells.collect():  # at most 50 levels for each pair that was kept
                 if (r["column"], r["feature"]) in wide:
-                    rates.setdefault((r["column"], r["feature"]), []).append((wide[r["column"], r["feature"]], r["n"], r["n_missing"]))
-    best_r: dict[str, float] = {}
+                    rates.setdefault((r["column"], r["feature"]), []).append((r["level"], r["n"], r["n_missing"]))
+    beside: dict[str, list[dict]] = {}
     if partly and numerics:
         for r in ev.indicator_correlations(df, partly, numerics).collect():
-            best_r[r["column"]] = max(best_r.get(r["column"], 0.0), round(abs(r["r"]), 4))
+            beside.setdefault(r["column"], []).append({"feature": r["feature"], "correlation": round(r["r"], 4)})
+    for found in beside.values():
+        found.sort(key=lambda x: (-abs(x["correlation"]), x["feature"]))
     if pairs is None:
         cats = [p["column"] for p in profiles if p["dtype_category"] == "categorical" and p["n_missing"] >= 5 and p["column"] in categorical_columns(df)]
         nums = numeric_columns(df)
@@ -47,9 +49,8 @@ def mechanism(df: DataFrame, target: str | None = None, profiles: list[dict] | N
     out = []
     for p in profiles:
         c = p["column"]
-        found = [(x[0][0], f, stats.chi2_independence([[m for _, _, m in x], [n - m for _, n, m in x]])) for (col, f), x in rates.items() if col == c]
-        found.sort(key=lambda g: (-g[0], g[1]))
-        significant = any(t is None or round(t["p_value"], 6) < ALPHA for *_, t in found)
+        groups = sorted((_group(f, wide[c, f], x) for (col, f), x in rates.items() if col == c), key=lambda g: (-g["correlation"], g["feature"]))
+        significant = any(g["p_value"] is None or g["p_value"] < limits.alpha for g in groups)
         more = {}
         if c in partly and c != target:
             lr = ev.logistic_lr(df, c, [x for x in numerics if x != c]) if [x for x in numerics if x != c] else None
@@ -58,11 +59,22 @@ def mechanism(df: DataFrame, target: str | None = None, profiles: list[dict] | N
                 more |= _target(df, c, target)
         out.append(Evidence(
             c, p["dtype_category"] == "numeric", p["n_missing"], p["missing_rate"], p["is_high_cardinality"], c == target, structural.get(c),
-            found[0][1] if found else None, significant, max_r=best_r.get(c, 0.0), **more,
+            groups[0]["feature"] if groups else None, significant, max_r=abs(beside[c][0]["correlation"]) if c in beside else 0.0,
+            groups=tuple(groups), correlated=tuple(beside.get(c, ())[:5]), limits=limits, **more,
         ))
     return out
 
 
+def _group(feature: str, spread: float, levels: list[tuple[str, int, int]]) -> dict:
+    """The evidence of one feature: the spread, its test, and the rates of its levels of five rows or more."""
+    test = stats.chi2_independence([[m for _, _, m in levels], [n - m for _, n, m in levels]])
+    shares = {level: m / n for level, n, m in sorted(levels) if n >= ev.MIN_GROUP}
+    return {
+        "feature": feature, "correlation": round(spread, 4), "p_value": round(test["p_value"], 6) if test else None, "chi2_statistic": round(test["statistic"], 4) if test else None,
+        "high_missing_groups": {k: round(r, 3) for k, r in shares.items() if r >= 0.5}, "all_group_rates": {k: round(r, 3) for k, r in shares.items()},
+    }
+
+
 def _target(df: DataFrame, column: str, target: str) -> dict:
     if target in numeric_columns(df):
         row = ev.point_biserial(df, column, target).first()
@@ -77,13 +89,22 @@ def _target(df: DataFrame, column: str, target: str) -> dict:
     return {"target_p": round(chi2_sf(test["statistic"], test["df"]), 6) if test else None, "target_effect": round(wide["spread"], 4) if wide["k"] > 1 else None}
 
 
+def _told(e: Evidence) -> dict:
+    """The evidence on a column as plain values."""
+    plain = {k: v for k, v in e.__dict__.items() if k not in ("groups", "correlated", "limits")}
+    more = {"categorical_correlated_features": list(e.groups), "correlated_features": list(e.correlated), "mechanism_evidence": evidence_lines(e)}
+    return {**plain, "mechanism_label": mechanism_label(e), "mar_robustness_note": robustness_note(e), "target_signal": e.target_signal, "driving_test": driving_test(e), **more}
+
+
 class Audit:
     """``run`` gives all findings; ``fit`` an imputer; ``save`` writes files.
 
     ``domain_tags`` maps columns to tags; temporal ones ask for filling in ``order_by``.
+    ``limits`` holds the thresholds of the decisions.
     """
 
-    def __init__(self, df: DataFrame, predict: DataFrame | None = None, *, target: str | None = None, domain_tags: dict[str, str] | None = None, order_by: list[str] | None = None, partition_by: list[str] | None = None, compat_rounding: bool = False):
+    def __init__(self, df: DataFrame, predict: DataFrame | None = None, *, target: str | None = None, domain_tags: dict[str, str] | None = None, order_by: list[str] | None = None, partition_by: list[str] | None = None, compat_rounding: bool = False, limits: Limits = DEFAULT):
+        self.limits = limits
         self.df, self.predict = normalise(df), normalise(predict) if predict is not None else None
         self.target, self.domain_tags, self.order_by, self.partition_by, self.compat = target, domain_tags or {}, order_by, partition_by, compat_rounding
         self.results: dict | None = None
@@ -94,11 +115,11 @@ class Audit:
         cats = [p["column"] for p in profiles if p["dtype_category"] == "categorical" and p["n_missing"] >= 5 and p["column"] in categorical_columns(df)]
         nums = numeric_columns(df)
         pairs = [r.asDict() for r in ev.structural_pairs(df, cats, nums).collect()] if cats and nums else []
-        found = mechanism(df, self.target, profiles, pairs)
+        found = mechanism(df, self.target, profiles, pairs, self.limits)
         plan = make_plan(found, self.domain_tags, self.compat)
         self.results = {
             "profile": {"columns": {p["column"]: {**p, "missing_rate": round(p["missing_rate"], 4)} for p in profiles}, "summary": summary(df).first().asDict()},
-            "mechanism": {"columns": {e.column: {**e.__dict__, "mechanism_label": mechanism_label(e)} for e in found if e.n_missing}, "little_mcar_test": ev.little_mcar(df)},
+            "mechanism": {"columns": {e.column: _told(e) for e in found if e.n_missing}, "little_mcar_test": ev.little_mcar(df)},
             "structural": {"pairs": pairs, "n_structural_pairs": len(pairs)},
             "plan": plan,
             "leakage": leakage_findings(plan),

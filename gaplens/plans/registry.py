@@ -11,7 +11,8 @@ from ..operators.chained import ChainedImputer, pool_means
 from ..operators.neighbours import knn_fill
 from ..sources.fixtures import VIEWS, view, with_view
 from .audit import mechanism
-from .rules import Evidence, leakage_findings, make_plan, mechanism_label
+from .rules import EFFECTIVE_SQL, LABEL_SQL, MI_SQL, NOTE_SQL, SIGNALS_SQL, STRATEGY_SQL, TEMPORAL_TAGS, Evidence, decision_flow, effective_label, leakage_findings, make_plan, mechanism_label, mice_method, recommend_mi, robustness_note
+from .rules import plan_summary as summed
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -386,12 +387,13 @@ def chart_target_signal(df):
     return charts.target_signal(df, "target", ["feat"]).select(F.col("column").alias("column_name"), "missing", "n", F.round("target_mean", 6).alias("target_mean"))
 
 
-@query("doc_labels")
+@query("doc_labels", "SELECT " + ", ".join(f"CAST({c} IS NULL AS INTEGER) AS {c}" for c in ("doc_id", "lang", "source", "n_chars", "quality", "toxic")) + " FROM doc_labels ORDER BY md5(concat_ws('|', CAST(doc_id AS VARCHAR), '42')), doc_id LIMIT 300")
 def chart_pattern_matrix(df):
     return charts.pattern_matrix(df, ["doc_id"])
 
 
-#: The audited views with their targets; the SQL states the evidence that decides each plan by critical values.
+#: The audited views with their targets. Their evidence has tests that SQL cannot state; the decisions on given
+#: evidence are stated by the rule queries below.
 _PLANNED = (("orders_gap", None), ("customer_gap", None), ("lineitem_gap", None), ("part_gap", None), ("customer_comiss", None), ("events_target", "target"), ("orders_sparse", "target"), ("doc_labels", None))
 
 
@@ -430,16 +432,118 @@ def mechanism_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"plan_strategies": plan_strategies, "plan_summary": plan_summary, "mi_upgrade": mi_upgrade, "leakage_findings": leakage, "mechanism_labels": mechanism_labels}
 
 
-@query("customer_comiss")
+#: Combinations of evidence on a column, in both dialects.
+_GRID = """WITH k(kind, is_numeric, high_cardinality, is_target) AS (VALUES ('n', TRUE, FALSE, FALSE), ('c', FALSE, FALSE, FALSE), ('h', FALSE, TRUE, FALSE), ('t', TRUE, FALSE, TRUE)),
+  m(n_missing) AS (VALUES (0), (3), (10), (25), (40), (81), (100)), st(structural) AS (VALUES (CAST(NULL AS VARCHAR(30))), ('structural_absence'), ('co_missing_structural')),
+  g(group_col, group_significant) AS (VALUES (CAST(NULL AS VARCHAR(30)), FALSE), ('region', FALSE), ('region', TRUE)),
+  t(target_p, target_effect) AS (VALUES (CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)), (NULL, 0.25), (0.5, 0.25), (0.01, 0.02)),
+  p(mar_p) AS (VALUES (CAST(NULL AS DOUBLE)), (0.01), (0.6)), r(max_r) AS (VALUES (0.0), (0.2), (0.45)), d(temporal) AS (VALUES (TRUE), (FALSE)),
+  e AS (SELECT concat_ws('/', kind, CAST(n_missing AS VARCHAR(9)), coalesce(structural, '-'), coalesce(group_col, '-'), CAST(group_significant AS VARCHAR(9)), coalesce(CAST(target_p AS VARCHAR(9)), '-'),
+    coalesce(CAST(target_effect AS VARCHAR(9)), '-'), coalesce(CAST(mar_p AS VARCHAR(9)), '-'), CAST(max_r AS VARCHAR(9)), CAST(temporal AS VARCHAR(9))) AS column_name, *, n_missing / 100.0 AS missing_rate
+    FROM k CROSS JOIN m CROSS JOIN st CROSS JOIN g CROSS JOIN t CROSS JOIN p CROSS JOIN r CROSS JOIN d)"""
+_DECIDED = f"""{_GRID}, s AS (SELECT *, {SIGNALS_SQL} FROM e), l AS (SELECT *, {LABEL_SQL} AS label FROM s),
+  x AS (SELECT *, {STRATEGY_SQL} AS strategy, {MI_SQL} AS mi_upgrade_recommended FROM l)"""
+
+
+def _grid(spark: SparkSession) -> list[tuple[Evidence, str | None]]:
+    """The combinations as evidence, and their domain tags."""
+    tag = sorted(TEMPORAL_TAGS)[0]
+    return [(Evidence(
+        r["column_name"], r["is_numeric"], r["n_missing"], float(r["missing_rate"]), r["high_cardinality"], r["is_target"], r["structural"], r["group_col"], r["group_significant"],
+        None if r["target_p"] is None else float(r["target_p"]), None if r["target_effect"] is None else float(r["target_effect"]), None if r["mar_p"] is None else float(r["mar_p"]), float(r["max_r"]),
+    ), tag if r["temporal"] else None) for r in spark.sql(f"{_GRID} SELECT * FROM e").collect()]
+
+
+def rule(sql: str):
+    """Register rules over the evidence grid with SQL that may refer to ``x``, the decided grid."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(spark, _grid(spark))
+        ORACLE_SQL[fn.__name__] = f"{_DECIDED} {sql}"
+        return fn
+
+    return add
+
+
+@rule(f"SELECT column_name, label, {EFFECTIVE_SQL} AS effective_label, {NOTE_SQL} AS robustness_note FROM x")
+def rule_labels(spark, grid):
+    return spark.createDataFrame([(e.column, mechanism_label(e), effective_label(e), robustness_note(e)) for e, _ in grid], "column_name string, label string, effective_label string, robustness_note string")
+
+
+def _grid_plan(grid) -> dict:
+    return make_plan([e for e, _ in grid], {e.column: tag for e, tag in grid if tag})
+
+
+@rule("SELECT column_name, strategy, contains(strategy, 'plus_indicator') AS add_missing_indicator, CASE WHEN starts_with(strategy, 'groupwise') THEN group_col END AS group_col FROM x")
+def rule_strategies(spark, grid):
+    rows = [(c, p["strategy"], bool(p["add_missing_indicator"]), p["group_col"]) for c, p in _grid_plan(grid)["columns"].items()]
+    return spark.createDataFrame(rows, "column_name string, strategy string, add_missing_indicator boolean, group_col string")
+
+
+@rule("SELECT column_name, mi_upgrade_recommended FROM x")
+def rule_mi_upgrade(spark, grid):
+    return spark.createDataFrame([(e.column, recommend_mi(e)) for e, _ in grid], "column_name string, mi_upgrade_recommended boolean")
+
+
+@rule("SELECT strategy, count(*) AS n FROM x GROUP BY strategy")
+def rule_plan_summary(spark, grid):
+    return spark.createDataFrame(list(summed(_grid_plan(grid)["columns"])["strategy_counts"].items()), "strategy string, n long")
+
+
+@rule("""SELECT unnest(['columns', 'with_missing', 'dropped', 'structural', 'imputed', 'with_indicator', 'mi_recommended']) AS step,
+  unnest([count(*), count(*) FILTER (WHERE n_missing > 0), count(*) FILTER (WHERE strategy = 'drop_column'), count(*) FILTER (WHERE starts_with(strategy, 'structural')),
+  count(*) FILTER (WHERE strategy NOT IN ('drop_column', 'no_imputation_needed')), count(*) FILTER (WHERE contains(strategy, 'plus_indicator')), count(*) FILTER (WHERE mi_upgrade_recommended)]) AS n FROM x""")
+def chart_decision_flow(spark, grid):
+    return charts.decision_flow_frame(spark, decision_flow(_grid_plan(grid)))
+
+
+@rule("SELECT column_name, CASE WHEN strategy IN ('drop_column', 'no_imputation_needed') THEN 'none' ELSE 'low' END AS leakage_risk FROM x")
+def rule_leakage(spark, grid):
+    return spark.createDataFrame([(f["column"], f["leakage_risk"]) for f in leakage_findings(_grid_plan(grid))["findings"]], "column_name string, leakage_risk string")
+
+
+@query("orders_gap", f"WITH p AS ({_ORDERS}) SELECT column_name, CASE WHEN dtype_category = 'numeric' THEN 'pmm' WHEN unique_count = 2 THEN 'logreg' WHEN column_name = 'o_orderpriority' THEN 'polyr' ELSE 'polyreg' END AS method FROM p")
+def mice_methods(df):
+    rows = [(r["column"], mice_method(r["dtype_category"] == "numeric", r["unique_count"], r["column"] == "o_orderpriority")) for r in profile.profile(df).collect()]
+    return df.sparkSession.createDataFrame(rows, "column_name string, method string")
+
+
+#: A target of up to 3,000 classes that has nothing to do with the gaps, and its test over all of them.
+_MANY = """WITH c AS (SELECT CAST(o_orderkey * 7919 % 3000 AS VARCHAR) AS l, count(*) - count(price) AS a, count(price) AS b FROM orders_gap GROUP BY 1), s AS (SELECT sum(a) AS sa, sum(b) AS sb, count(*) AS k FROM c),
+  x AS (SELECT a - (a + b) * sa / (sa + sb) AS ga, (a + b) * sa / (sa + sb) AS ea, b - (a + b) * sb / (sa + sb) AS gb, (a + b) * sb / (sa + sb) AS eb FROM c, s)"""
+
+
+@query("orders_gap", f"{_MANY} SELECT round(sum(ga * ga / ea + gb * gb / eb), 6) AS statistic, (SELECT k FROM s) - 1 AS df FROM x")
+def chi2_many_classes(df):
+    many = df.withColumn("class", (F.col("o_orderkey") * 7919 % 3000).cast("string"))
+    return evidence.chi2_frame(evidence.contingency(many, "price", "class")).select(F.round("statistic", 6).alias("statistic"), "df")
+
+
+@query("orders_gap", """WITH b AS (SELECT CASE WHEN o_orderkey % 5 IN (1, 2) THEN NULL ELSE CAST(o_orderkey % 2000 AS VARCHAR) END AS v FROM orders_gap), a AS (SELECT coalesce(v, 'MISSING') AS v FROM b)
+  SELECT 'class: over 30 % are MISSING' AS alert FROM a HAVING count(*) FILTER (WHERE v = 'MISSING') > 0.3 * count(*)""")
+def drift_alerts_many_values(df):
+    before = df.select(F.when(F.col("o_orderkey") % 5 >= 3, (F.col("o_orderkey") % 2000).cast("string")).when(F.col("o_orderkey") % 5 == 0, (F.col("o_orderkey") % 2000).cast("string")).alias("class"))
+    alerts = sensitivity.categorical_alerts(before, before.fillna("MISSING"), "class")
+    return df.sparkSession.createDataFrame([(a,) for a in alerts], "alert string")
+
+
+#: With one incomplete column the estimates have a closed form, and so has the test.
+@query("customer_comiss", """WITH c AS (SELECT *, acctbal IS NULL AS gone FROM customer_comiss), a AS (SELECT count(*) AS n, avg(c_custkey) AS mx, avg(c_nationkey) AS my, var_pop(c_custkey) + 1e-6 AS xx, var_pop(c_nationkey) + 1e-6 AS yy, covar_pop(c_custkey, c_nationkey) AS xy FROM c),
+  p AS (SELECT gone, count(*) AS k, avg(c_custkey) AS x, avg(c_nationkey) AS y FROM c GROUP BY gone),
+  d AS (SELECT sum(k * (yy * (x - mx) * (x - mx) - 2 * xy * (x - mx) * (y - my) + xx * (y - my) * (y - my)) / (xx * yy - xy * xy)) AS statistic FROM p, a)
+  SELECT TRUE AS applicable, round(statistic, 4) AS statistic, 2 AS df, round(exp(-statistic / 2), 6) AS p_value FROM d""")
 def little_mcar(df):
     r = evidence.little_mcar(df, ["c_custkey", "c_nationkey", "acctbal"])
-    return df.sparkSession.createDataFrame([(bool(r["applicable"]), r.get("statistic"), r.get("df"), r.get("p_value"))], "applicable boolean, statistic double, df int, p_value double")
+    rounded = lambda name, k: None if r.get(name) is None else round(r[name], k)
+    return df.sparkSession.createDataFrame([(bool(r["applicable"]), rounded("statistic", 4), r.get("df"), rounded("p_value", 6))], "applicable boolean, statistic double, df int, p_value double")
 
 
-@query("customer_gap")
+@query("customer_gap", """WITH o AS (SELECT covar_pop(c_nationkey, acctbal) / var_pop(c_nationkey) AS b, avg(acctbal) AS my, avg(c_nationkey) AS mx, var_pop(acctbal) - covar_pop(c_nationkey, acctbal) * covar_pop(c_nationkey, acctbal) / var_pop(c_nationkey) AS rest
+    FROM customer_gap WHERE acctbal IS NOT NULL), a AS (SELECT avg(c_nationkey) AS m, var_pop(c_nationkey) AS v FROM customer_gap)
+  SELECT 'c_nationkey' AS column_name, round(m, 2) AS mean, round(v, 2) AS cov_c_nationkey, round(b * v, 2) AS cov_acctbal FROM o, a UNION ALL SELECT 'acctbal', round(my + b * (m - mx), 2), round(b * v, 2), round(rest + b * b * v, 1) FROM o, a""")
 def em_mean_cov(df):
     mu, sigma = stats.em_normal(evidence.collect_patterns(df, ["c_nationkey", "acctbal"]))
-    rows = [(c, float(mu[k]), float(sigma[k, 0]), float(sigma[k, 1])) for k, c in enumerate(("c_nationkey", "acctbal"))]
+    rows = [(c, round(float(mu[k]), 2), round(float(sigma[k, 0]), 2), round(float(sigma[k, 1]), 2 - k)) for k, c in enumerate(("c_nationkey", "acctbal"))]
     return df.sparkSession.createDataFrame(rows, "column_name string, mean double, cov_c_nationkey double, cov_acctbal double")
 
 
@@ -465,10 +569,12 @@ def model_based_fill(df):
     return impute.fill(df, "discount", "model_based_imputation_optional")
 
 
-@query("customer_gap")
+@query("customer_gap", """WITH d AS (SELECT g.c_custkey AS k, d.acctbal AS v, row_number() OVER (PARTITION BY g.c_custkey ORDER BY (g.c_custkey - d.c_custkey) * (g.c_custkey - d.c_custkey) + (g.c_nationkey - d.c_nationkey) * (g.c_nationkey - d.c_nationkey), d.acctbal) AS n
+    FROM customer_gap g JOIN customer_gap d ON g.acctbal IS NULL AND d.acctbal IS NOT NULL), m AS (SELECT k, avg(v) AS v FROM d WHERE n <= 5 GROUP BY k)
+  SELECT c_custkey, c_nationkey, c_mktsegment, round(coalesce(acctbal, v), 6) AS acctbal FROM customer_gap LEFT JOIN m ON k = c_custkey""")
 def knn_impute(df):
-    return knn_fill(df, df, ["acctbal"])
+    return knn_fill(df, df, ["acctbal"]).withColumn("acctbal", F.round("acctbal", 6))
 
 
-QUERIES["knn_fill"] = QUERIES.pop("knn_impute")
+QUERIES["knn_fill"], ORACLE_SQL["knn_fill"] = QUERIES.pop("knn_impute"), ORACLE_SQL.pop("knn_impute")
 __all__ = ["ORACLE_SQL", "QUERIES", "VIEWS", "Evidence"]

@@ -13,12 +13,17 @@ from pyspark.sql import types as T
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """A CSV file with a header; NA tokens become null, then columns of whole or decimal numbers are cast.
 
-    Two passes over the file: one aggregate decides every column's type.
+    Two passes over the file: one aggregate decides every column's type. Quoted line feeds
+    need ``multi_line``, which reads a file in one task; not given, it is chosen where a line
+    has an odd number of quotes, found by one more pass.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=False)
+    if multi_line is None:
+        odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multi_line = not spark.read.text(path).where(odd % 2 == 1).isEmpty()
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, quote='"', escape='"')
     clean = raw.select(*(F.when(F.col(f"`{c}`").isin(*NA_TOKENS), None).otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns))
     tests = []
     for k, c in enumerate(raw.columns):

@@ -12,9 +12,11 @@ from gaplens.operators import impute, sensitivity
 from gaplens.operators.chained import ChainedImputer, pool_means
 from gaplens.operators.columns import missing
 from gaplens.operators.neighbours import knn_fill
+from gaplens.operators.profile import summary
 from gaplens.plans import rules
-from gaplens.plans.audit import Audit, mechanism
+from gaplens.plans.audit import Audit, mechanism, recommend
 from gaplens.plans.report import context_summary, report_md
+from gaplens.sources import demo
 from gaplens.sources.files import read_csv
 from gaplens.streaming.apply import impute_stream
 
@@ -68,6 +70,18 @@ def test_statistics_come_from_training_rows(spark):
     assert {r.g: r.y for r in got} == {"A": 11.0, "B": 101.0, "C": 12.0, None: 12.0}
 
 
+def test_ordered_fill_over_string_keys(spark):
+    rows = [(f"k{i * 37 % 600:04d}", "ab"[i % 2], None if i % 4 else float(i)) for i in range(600)]
+    df = spark.createDataFrame(rows, "s string, t string, v double").repartition(7)
+    plain, last = {}, None
+    for s, t, v in sorted(rows, key=lambda r: r[:2]):
+        last = last if v is None else v
+        plain[s, t] = last
+    first = next(v for v in plain.values() if v is not None)
+    got = {(r.s, r.t): r.v for r in impute.ordered_fill(df, "v", ["s", "t"], parts=9).collect()}
+    assert got == {k: first if v is None else v for k, v in plain.items()}
+
+
 def test_ordered_fill_does_not_depend_on_partitions(spark):
     rng = random.Random(4)
     rows = [(i, i % 7, None if rng.random() < 0.6 else float(i)) for i in range(500)]
@@ -260,3 +274,52 @@ def test_files_report_and_script(spark, mixed, tmp_path):
     done = subprocess.run([sys.executable, f"{tmp_path}/out/reproduce.py", path, f"{tmp_path}/imputed"], capture_output=True, text=True, timeout=240)
     assert done.returncode == 0, done.stderr[-800:]
     assert spark.read.csv(f"{tmp_path}/imputed", header=True).count() == 400
+
+
+def test_demo_tables_have_their_mechanisms(spark):
+    labels = {}
+    for name in ("random", "explained", "target", "structural"):
+        df = demo.TABLES[name](spark)
+        assert df.count() in (800, 200) and df.collect() == demo.TABLES[name](spark).collect()
+        plan = recommend(df, "target")["columns"]
+        labels[name] = {c: (p["mechanism_label"], p["strategy"]) for c, p in plan.items() if p["missing_rate"] > 0}
+    assert labels["random"] == {"measurement_a": ("MCAR-compatible", "numeric_median")}
+    assert labels["explained"]["income"] == ("MAR-like evidence", "numeric_median_plus_indicator")
+    assert labels["target"]["credit_score"][0] == "target-associated missingness"
+    assert labels["structural"] == {"facility_type": ("structural missingness", "structural_none_token_plus_indicator")}
+    assert demo.mixed_gaps(spark).count() == 600 and len(demo.mixed_gaps(spark).columns) == 8
+    week = demo.panel(spark)
+    share = summary(week).first().overall_missing_rate
+    assert week.count() == 780 and 0.05 < share < 0.15
+
+
+def test_audit_tells_its_evidence_and_takes_limits(spark, tmp_path):
+    df = demo.panel(spark)
+    audit = Audit(df, domain_tags={"naloxone_admin_rate": "time_series_metric"}, order_by=["week"], partition_by=["state"])
+    told = audit.run()["mechanism"]["columns"]["ed_visit_rate"]
+    assert told["mechanism_label"] == "group-dependent missingness" and told["driving_test"]["test"] == "chi_squared" and told["driving_test"]["p_value"] < 0.05
+    (state,) = [g for g in told["categorical_correlated_features"] if g["feature"] == "state"]
+    assert len(state["all_group_rates"]) == 15 and all(r >= 0.5 for r in state["high_missing_groups"].values()) and state["chi2_statistic"] > 0
+    assert told["correlated_features"] and any("state" in line for line in told["mechanism_evidence"])
+    audit.save(str(tmp_path / "out"), m=2)
+    text = (tmp_path / "out" / "reports" / "missingness_report.md").read_text()
+    assert "### ed_visit_rate" in text and "driving test: chi squared" in text and "### Decisions" in text
+    strict = Audit(df, limits=rules.Limits(spread=1.1, alpha=1e-300, pair_r=1.1, drop_over=0.01)).run()
+    assert strict["mechanism"]["columns"]["ed_visit_rate"]["mechanism_label"] == "MCAR-compatible"
+    assert strict["plan"]["columns"]["ed_visit_rate"]["strategy"] == "drop_column"
+
+
+def test_captions():
+    assert rules.severity_caption({}) == "No values are missing."
+    assert "b (90.0%)" in rules.severity_caption({"a": 0.1, "b": 0.9}) and "1 miss 80 %" in rules.severity_caption({"a": 0.1, "b": 0.9})
+    assert "at once" in rules.pattern_caption(0.4, 0.2) and "independent gaps would" in rules.pattern_caption(0.4, 0.01)
+    assert "a, b" in rules.target_caption({"b": 0.2, "a": -0.5, "c": 0.01}) and "hardly" in rules.target_caption({"c": 0.01})
+    assert rules.mice_method(False, 4, True) == "polyr" and rules.mice_method(False, 2) == "logreg"
+
+
+def test_csv_with_quoted_line_feeds(spark, tmp_path):
+    path = str(tmp_path / "q.csv")
+    with open(path, "w") as f:
+        f.write('name,v\n"two\nlines, ""quoted""",1\nplain,NA\n')
+    rows = read_csv(spark, path).collect()
+    assert [(r.name, r.v) for r in rows] == [('two\nlines, "quoted"', 1), ("plain", None)]

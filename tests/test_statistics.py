@@ -1,12 +1,14 @@
 """Tails, tests and pooling against published values and plain versions."""
 
+import datetime
 import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gaplens.functions import stats, tails
-from gaplens.operators import evidence
+from gaplens.operators import evidence, ranges
 
 
 def test_tails():
@@ -24,6 +26,64 @@ def test_chi_squared():
     assert stats.chi2_independence([[10, 20, 30], [20, 20, 20]])["df"] == 2
 
 
+def test_medians_by_ranges_equal_those_of_one_buffer(spark):
+    rng = np.random.default_rng(3)
+    rows = [("hot" if i % 3 == 0 else f"g{i % 7}", float(v)) for i, v in enumerate(np.round(rng.normal(size=3000), 2))]
+    rows += [("one", 4.0), ("two", 1.0), ("two", 2.0), (None, 9.0), ("none", None), ("ties", 5.0), ("ties", 5.0), ("ties", 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    want = {}
+    for g, v in rows:
+        if g is not None and v is not None:
+            want.setdefault(g, []).append(v)
+    want = {g: float(np.median(v)) for g, v in want.items()}
+    for small in (0, 10_000):
+        got = {r.g: r.m for r in ranges.medians(df, F.col("v"), F.col("g"), small).collect()}
+        assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-12 for g in want)
+        assert [r.m for r in ranges.medians(df, F.col("v"), None, small).collect()] == [float(np.median([v for _, v in rows if v is not None]))]  # null groups count without grouping
+        assert ranges.medians(df.limit(0), F.col("v"), F.col("g"), small).count() == 0
+
+
+def test_ranges_of_any_keys(spark):
+    rows = [(None if i % 50 == 0 else f"k{i * 7919 % 1000:04d}", datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=i % 400), i % 3 == 0, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "s string, t timestamp_ntz, b boolean, i int").repartition(6)
+    for keys in (["s"], ["t", "i"], ["b", "s"], ["i"]):
+        order = lambda r: [(r[k] is not None, r[k]) for k in keys]  # noqa: E731,B023
+        got = sorted(ranges.with_range(df, [F.col(k) for k in keys], 16).collect(), key=order)
+        parts = [r.part for r in got]
+        assert parts == sorted(parts) and len(set(parts)) > 10 and max(np.bincount(parts)) < 250
+        assert len({(tuple(order(r)), r.part) for r in got}) == len({tuple(order(r)) for r in got})
+    assert ranges.with_range(df.limit(0), [F.col("s")], 4).count() == 0
+
+
+def test_sums_of_products_give_the_same_evidence(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 5)) * [1, 10, 1e3, 0, 5] + [0, 3, 1e6, 2, 0]
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 4][rng.random(400) < 0.5] = 0.0
+    cats = [[None if rng.random() < 0.3 else "abc"[int(rng.integers(3))] for _ in range(2)] for _ in range(400)]
+    df = spark.createDataFrame([(*map(float, v), *c) for v, c in zip(x, cats)], "a double, b double, c double, d double, e double, u string, v string").repartition(4)
+    names = {"indicator_correlations": ("column", "feature"), "structural_counts": ("categorical_col", "numeric_col"), "indicator_matrix": ("a", "b")}
+    nums, some = list("abcde"), {"indicator_correlations": (["a", "b", "u"], list("abcde")), "structural_counts": (["u", "v"], list("abcde")), "indicator_matrix": (list("abcdeuv"),)}
+    for name, keys in names.items():
+        one, many = ({tuple(r[k] for k in keys): r.asDict() for r in getattr(evidence, name)(df, *some[name], width=w).collect()} for w in (1000, 0))
+        assert one.keys() == many.keys() and len(one) > 5
+        for k, row in one.items():
+            for field, value in row.items():
+                assert many[k][field] == (value if isinstance(value, str) else pytest.approx(value, rel=1e-9, abs=1e-9)), (name, k, field)
+    assert evidence.indicator_matrix(df.limit(0), nums, width=0).count() == 0
+
+
+def test_wide_tables_take_one_scan(spark, monkeypatch):
+    df = spark.range(500).select(*(F.when(F.col("id") % (k + 3) == 0, None).otherwise(F.col("id") * (k + 1) % 97).alias(f"c{k}") for k in range(40)))
+    scans = []
+    plain = evidence.cross_sums
+    monkeypatch.setattr(evidence, "cross_sums", lambda *a: scans.append(1) or plain(*a))
+    monkeypatch.setattr(evidence, "_inlined", None)
+    assert evidence.indicator_correlations(df, df.columns).count() > 1400  # constant sides have none
+    assert evidence.indicator_matrix(df).count() == 820
+    assert len(scans) == 2
+
+
 def test_rubin():
     p = stats.pool_rubin([1, 2, 3, 4, 5], [0.1] * 5)
     assert p["pooled_estimate"] == 3 and p["total_variance"] > p["within_variance"] and 0 < p["fraction_missing_information"] < 1
