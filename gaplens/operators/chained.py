@@ -18,6 +18,10 @@ from ..functions.stats import bayesian_ridge, pool_rubin
 from .columns import missing, normalise, number, numeric_columns, q
 
 
+#: Rounds after which the lineage is cut, where a folder for checkpoints is set.
+CUT = 4
+
+
 @dataclass
 class Link:
     """One regression of the chain: column ~ intercept + coefficients of the others."""
@@ -88,7 +92,7 @@ class ChainedImputer:
         chain = Chain(columns, start)
         scale = max((abs(v) for v in start.values()), default=1.0) or 1.0
         frame, before, old = base, None, {}
-        for _ in range(self.max_iter):
+        for turn in range(1, self.max_iter + 1):
             change, first = 0.0, len(chain.links)
             for c in order:
                 link = self._regress(frame, chain, first, c, i)
@@ -99,7 +103,10 @@ class ChainedImputer:
             if before is not None:
                 before.unpersist()
             before = frame if frame is not base else None
-            frame = frame.withColumn("s", self._applied(chain, first, i)).persist()
+            frame = frame.withColumn("s", self._applied(chain, first, i))
+            if turn % CUT == 0 and frame.sparkSession.sparkContext.getCheckpointDir():
+                frame = frame.checkpoint()  # a lost executor then costs a few rounds, not all
+            frame = frame.persist()
             if not self.sample and change < self.tol * scale:
                 break
         for done in (before, frame):

@@ -553,6 +553,14 @@ def logistic_lr(df):
     return df.sparkSession.createDataFrame([(r["statistic"], r["df"], r["p_value"])], "statistic double, df int, p_value double")
 
 
+#: With one covariate of two values the fitted chances are the shares, which gives the ratio of likelihoods.
+@query("orders_gap", """WITH g AS (SELECT o_orderpriority = '1-URGENT' AS u, count(*) AS n, count(*) - count(price) AS a, count(price) AS b FROM orders_gap GROUP BY 1), s AS (SELECT sum(n) AS n, sum(a) AS a, sum(b) AS b FROM g)
+  SELECT round(2 * (sum(g.a * ln(g.a / g.n) + g.b * ln(g.b / g.n)) - (max(s.a) * ln(max(s.a) / max(s.n)) + max(s.b) * ln(max(s.b) / max(s.n)))), 2) AS statistic, 1 AS df FROM g, s""")
+def logistic_lr_two_groups(df):
+    r = evidence.logistic_lr(df.withColumn("urgent", (F.col("o_orderpriority") == "1-URGENT").cast("int")), "price", ["urgent"])
+    return df.sparkSession.createDataFrame([(round(r["statistic"], 2), r["df"])], "statistic double, df int")
+
+
 @query("customer_gap")
 def mice_draws(df):
     return ChainedImputer(m=3, max_iter=5, key=["c_custkey"]).fit(df, ["c_nationkey", "acctbal"]).draws(df, ["acctbal"])
