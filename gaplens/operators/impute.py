@@ -150,7 +150,9 @@ def fit_step(df: DataFrame, s: Step, fitted: Fitted, seed: int = 0) -> Step:
     elif name.startswith("time_series"):
         if not fitted.order_by:
             raise ValueError(f"{c}: filling in order needs order_by")
-        median = exact_median(ordered_fill(df, c, fitted.order_by, fitted.partition_by), c)
+        filled = ordered_fill(df, c, fitted.order_by, fitted.partition_by).select(q(c)).persist()  # a median looks twice
+        median = exact_median(filled, c)
+        filled.unpersist()
         s.value = 0.0 if median is None else median
     elif name.startswith("categorical_mode"):
         found = mode_of(df, c)
