@@ -1,14 +1,16 @@
 """Strategies, leakage, order, and degenerate inputs."""
 
 import json
+import math
 import random
 import subprocess
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaplens.operators import impute, sensitivity
+from gaplens.operators import impute, neighbours, sensitivity
 from gaplens.operators.chained import ChainedImputer, pool_means
 from gaplens.operators.columns import missing
 from gaplens.operators.neighbours import knn_fill
@@ -186,6 +188,79 @@ def test_neighbours(spark):
         assert all(abs(got[r[0]] - (plain(r) if r[3] is None else r[3])) < 1e-9 for r in rows)
 
 
+def plain_neighbours(rows, k=5):
+    """The mean of the k nearest by comparing all; a row is numbers and a value, None where missing."""
+
+    def fill(r):
+        best = []
+        for o in rows:
+            shared = [(a - b) * (a - b) for a, b in zip(r[:-1], o[:-1]) if a is not None and b is not None]
+            if o[-1] is not None and shared and math.isfinite(far := sum(shared) * len(r) / len(shared)):
+                best.append((far, o[-1]))
+        found = [v for _, v in sorted(best)[:k]] or [o[-1] for o in rows if o[-1] is not None]
+        return sum(found) / len(found)
+
+    return [r[-1] if r[-1] is not None else fill(r) for r in rows]
+
+
+def filled_by_neighbours(spark, rows, **how):
+    names = [f"c{j}" for j in range(len(rows[0]))]
+    df = spark.createDataFrame([(str(i), *r) for i, r in enumerate(rows)], "id string, " + ", ".join(f"{n} double" for n in names)).repartition(3)
+    got = {int(r.id): r[names[-1]] for r in knn_fill(df, df, names[-1:], **how).collect()}
+    assert len(got) == len(rows)
+    return [got[i] for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("block, patterns", [(4096, 256), (8, 256), (8, 3), (1, 0)])
+def test_neighbours_of_odd_rows(spark, monkeypatch, block, patterns):
+    """Many patterns of gaps, ties, copies, infinities, rows that share nothing, cells and rows dealt into pieces."""
+    monkeypatch.setattr("gaplens.operators.neighbours.PATTERNS", patterns)
+    rng = random.Random(5)
+    few = lambda: rng.choice([0.0, -0.0, 1.0, 2.0, 5.0])
+    rows = [[few(), rng.gauss(0, 3), rng.gauss(7, 1), few()] for _ in range(250)] + [[1.0, 2.0, 7.0, 1.0]] * 60 + [[math.inf, 0.0, 7.0, 1.0], [-math.inf, 0.0, 1e200, 1.0], [None] * 4] * 2
+    rows = [[v if at % 3 or rng.random() > 0.3 else None for v in r] + [None if at % 4 == 1 else rng.choice([rng.gauss(0, 1), 0.5])] for at, r in enumerate(rows)]
+    rows.append([None, None, None, None, None])
+    want = plain_neighbours(rows)
+    assert all(abs(a - b) < 1e-9 for a, b in zip(filled_by_neighbours(spark, rows, block=block), want))
+
+
+def test_neighbours_without_donors_or_gaps(spark):
+    assert filled_by_neighbours(spark, [[1.0, None], [2.0, None]]) == [0.0, 0.0]
+    assert filled_by_neighbours(spark, [[1.0, 3.0], [2.0, 4.0]]) == [3.0, 4.0]
+    assert filled_by_neighbours(spark, [[None, 3.0], [2.0, None], [None, 4.0]]) == [3.0, 3.5, 4.0]
+
+
+def test_neighbours_tell_where_gaps_are(spark):
+    """Rows that differ only in which number is missing have other neighbours."""
+    rows = [[float(i), 100.0 - i, float(i)] for i in range(40)]
+    frame = lambda r: spark.createDataFrame(r, "x double, y double, z double")
+    got = knn_fill(frame([[5.0, None, None], [None, 5.0, None]]), frame(rows), ["z"], k=1).collect()
+    assert {(r.x, r.y): r.z for r in got} == {(5.0, None): 5.0, (None, 5.0): 39.0}
+
+
+def test_neighbours_far_from_zero(spark):
+    """Keys of ten digits: squares of numbers lose what squares of differences keep."""
+    rows = [[9e9 + i, None if i % 10 == 0 else float(i)] for i in range(200)]
+    assert filled_by_neighbours(spark, rows) == plain_neighbours(rows)
+
+
+def test_neighbours_compare_few(spark):
+    """The pairs of a row and a cell that are compared, all of them needed ones."""
+    rng = np.random.default_rng(3)
+    x = np.column_stack([np.arange(20_000.0), rng.integers(0, 25, 20_000)])
+    donors, rows = x[np.arange(len(x)) % 13 > 0], x[::13]
+    cells = neighbours._Cells(donors[rng.random(len(donors)) < 0.1], 16, 5)
+    home = cells.of(donors)
+    cells.tree.close([(at, *neighbours._box(donors[who])) for at, who in neighbours._groups(home)])
+    limit, who, cell = cells.reached(rows)
+    sent = set(zip(who.tolist(), cell.tolist()))
+    assert sum(int((home == at).sum()) for at in cell) < 0.05 * len(rows) * len(donors)
+    for i in range(0, len(rows), 25):
+        far = neighbours._far(rows[i : i + 1], donors)[0]
+        near = np.argsort(far, kind="stable")[:5]
+        assert far[near].max() <= limit[i] and {(i, int(home[n])) for n in near} <= sent
+
+
 def test_sensitivity(spark):
     rng = random.Random(99)
     rows = [(None if i % 5 < 2 else rng.gauss(10, 2), None if i % 50 == 0 else rng.gauss(10, 2)) for i in range(300)]
